@@ -1,0 +1 @@
+"""loanlens.streaming"""

@@ -62,7 +62,7 @@ class Imputer:
         return joined.select(*keep, *added)
 
 
-def fit_imputer(df: DataFrame, s: RiskSchema, method: str = "distributed") -> Imputer:
+def fit_imputer(df: DataFrame, s: RiskSchema, method: str = "auto") -> Imputer:
     """Columns with at least one null (targets skipped) and their medians per
     category group, the groups formed after filling ``Unknown``."""
     feats = list(s.features)
@@ -133,7 +133,7 @@ class Preparation:
 
 def fit_preparation(df: DataFrame, s: RiskSchema, cap: float = 25_000.0,
                     fit_rows: DataFrame | None = None, reports: bool = False,
-                    method: str = "distributed") -> Preparation:
+                    method: str = "auto") -> Preparation:
     """Fit PRE1-PRE5 on ``fit_rows`` (default: all rows, as the reference
     does; pass the training split for the leak-free PRE10)."""
     base = fit_rows if fit_rows is not None else df

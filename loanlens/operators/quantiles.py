@@ -23,6 +23,27 @@ from .joins import null_safe_join
 from .prefix import prefix_sums
 
 
+# inputs estimated above this size use the rank-based exact method
+DISTRIBUTED_ABOVE_BYTES = 8 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job runs)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimate unavailable: assume large
+        return 1 << 62
+
+
+def resolve_method(df: DataFrame, method: str) -> str:
+    """``auto``: Spark's ``percentile`` aggregate while the input is small
+    enough that the distinct values of one group fit a task; the rank-based
+    ``distributed`` method beyond that."""
+    if method != "auto":
+        return method
+    return "distributed" if estimated_bytes(df) > DISTRIBUTED_ABOVE_BYTES else "exact"
+
+
 def quantile_exprs(col: str, probs: list[float], method: str = "exact",
                    accuracy: int = 100_000):
     """Per-column aggregate expressions (methods ``exact`` / ``approx``)."""
@@ -71,6 +92,7 @@ def grouped_quantiles(df: DataFrame, group: list[str], cols: list[str], probs: l
     """Quantiles of each column of ``cols`` per ``group``, in long form:
     ``group..., column, <name per prob>``."""
     group = list(group)
+    method = resolve_method(df, method)
     if method == "distributed":
         long = df.select(*group, F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))

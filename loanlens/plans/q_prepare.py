@@ -9,6 +9,7 @@ from ..operators import profile as P
 from ..operators import split as SP
 from .oracle import r4, with_rf
 from .q_profile import _describe_sql
+from ..session import cache
 from .registry import RS, register, rf, rounded
 
 CAP = 25_000.0
@@ -51,7 +52,7 @@ def _round_cols(cols, src="") -> str:
 
 
 def prepared(spark, sf_dir, fit_on_train: bool = False):
-    df = rf(spark, sf_dir)
+    df = cache(rf(spark, sf_dir))
     fit_rows = None
     if fit_on_train:
         fit_rows = SP.split_hash(df, "k", SEED).where("split = 'train'").drop("split")

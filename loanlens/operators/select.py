@@ -108,7 +108,8 @@ def _newton_pass(df: DataFrame, features, label, fold_col, mean, scale, base, ca
                 mask = (f[:, None] != np.arange(folds)[None, :]).astype(float)
                 r = (p - y[:, None]) * mask
                 g = x.T @ r                           # (d, folds)
-                h = np.einsum("nf,ni,nj->fij", p * (1 - p) * mask, x, x)
+                s = p * (1 - p) * mask
+                h = np.stack([(x * s[:, k:k + 1]).T @ x for k in range(folds)])
                 a = acc.setdefault(ci, [np.zeros_like(g), np.zeros_like(h)])
                 a[0] += g
                 a[1] += h

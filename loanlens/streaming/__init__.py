@@ -1 +1,7 @@
-"""loanlens.streaming"""
+"""loanlens.streaming
+
+Nothing is built here on purpose: the reference has no streaming sources,
+watermarks, event-time windows or state, and this package adds no operator
+the reference does not have. Batch scoring (MOD12) is ``operators.models.score``
+and ``operators.neural.score``; both are plain DataFrame transformations.
+"""

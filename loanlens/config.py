@@ -89,7 +89,7 @@ class RunConfig:
     # evaluation
     drop_intermediate: bool = True
     # quantiles: "exact" (one aggregate), "distributed" (rank based) or "approx"
-    quantile_method: str = "exact"
+    quantile_method: str = "distributed"
     quantile_accuracy: int = 100_000
     # preparation: fit medians / levels on the training split only (PRE10)
     fit_on_train: bool = False

@@ -163,7 +163,7 @@ def _heldout_scores(df, features, label, fold_col, mean, scale, base, cands, wei
 
 def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_col: str = "fold",
                       folds: int = 5, max_features: int = 10, c_inv: float = 1.0,
-                      max_iter: int = 30, tol: float = 1e-8):
+                      max_iter: int = 25, tol: float = 1e-7):
     """Forward selection for L2 logistic regression (scikit-learn's C = 1 on
     raw features), each candidate scored by mean held-out AUC."""
     mean, scale = moments(train, features)

@@ -55,7 +55,10 @@ def pearson(x, y) -> Column:
     xc, yc = _c(x), _c(y)
     xm = F.when(yc.isNotNull(), xc)
     ym = F.when(xc.isNotNull(), yc)
-    return F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym))
+    # a constant side is detected exactly by min < max: merged partial
+    # moments can leave a standard deviation of 1e-17 instead of 0
+    varies = (F.min(xm) < F.max(xm)) & (F.min(ym) < F.max(ym))
+    return F.when(varies, F.try_divide(F.covar_pop(xm, ym), F.stddev_pop(xm) * F.stddev_pop(ym)))
 
 
 def stack_expr(items: list[tuple[str, list[str]]], out_cols: list[str]) -> Column:

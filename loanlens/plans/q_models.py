@@ -6,6 +6,8 @@ invariants are asserted in ``tests/``. One-feature OLS has an exact oracle.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -13,28 +15,43 @@ from ..operators import models as M
 from ..operators import split as SP
 from ..operators.assess import assess, metrics_frame
 from ..operators.tune import cross_validate, grid_search
-from ..session import reliable_checkpoint
 from .oracle import r4, with_rf
-from .q_prepare import SEED, prepared
-from .registry import register, rf, rounded
+from .jobs import task_frames
+from .registry import RS, register, rf, rounded
 
 CFG = RunConfig()
 
 
-def model_frame(spark, sf_dir, task: str, fit_on_train: bool = False):
-    """Prepared rows of one task with ``split`` and, on train rows, ``fold``,
-    written once to the shared checkpoint folder: every fit, CV fold and
-    metric then scans that table instead of replaying the joins, median
-    aggregate and fold ranking (and a lost executor re-reads it)."""
-    prep, out = prepared(spark, sf_dir, fit_on_train=fit_on_train)
-    df = SP.split_hash(out, "k", SEED)
-    strat = "target_flag"
-    if task == M.REGRESSOR:
-        df = SP.loss_population(df, "target_amt")
-        strat = None
-    train = SP.assign_folds(df.where("split = 'train'"), "k", CFG.folds, SEED, stratify=strat)
-    test = df.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
-    return prep.feature_cols, reliable_checkpoint(train.unionByName(test))
+_FRAMES: dict = {}
+
+
+def model_frame(spark, sf_dir, task: str, fit_on_train: bool = False, fresh: bool = False):
+    """Prepared rows of one task with ``split`` and, on train rows, ``fold``.
+
+    Both tasks' frames are written once to the shared checkpoint folder
+    (``jobs.task_frames``) and reused by every model query of the session:
+    each fit, CV fold and metric scans that table instead of replaying the
+    joins, the median aggregate and the fold ranking, and a lost executor
+    re-reads it. The ``model_frames`` query builds them afresh.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), fit_on_train)
+    if fresh or key not in _FRAMES:
+        prep, frames = task_frames(rf(spark, sf_dir), RS, CFG.with_(fit_on_train=fit_on_train))
+        _FRAMES[key] = (prep.feature_cols, frames)
+    feats, frames = _FRAMES[key]
+    return feats, frames[task]
+
+
+@register("model_frames")
+def q_model_frames(spark, sf_dir):
+    """PRE6-PRE8 + TUN4 end to end: both tasks' prepared frames built and
+    written; rows per task and split."""
+    from pyspark.sql import functions as F
+    _, cls = model_frame(spark, sf_dir, M.CLASSIFIER, fresh=True)
+    _, reg = model_frame(spark, sf_dir, M.REGRESSOR)
+    return (cls.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).withColumn("task", F.lit(M.CLASSIFIER))
+            .unionByName(reg.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+                         .withColumn("task", F.lit(M.REGRESSOR))))
 
 
 def label_of(task):

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import null_safe_join
 from .prefix import prefix_sums
 
 
@@ -59,14 +58,17 @@ def long_quantiles(long: DataFrame, group: list[str], value: str, probs: list[fl
                    names: list[str], partitions: int | None = None) -> DataFrame:
     """Distributed exact quantiles of ``value`` per ``group`` of a long frame.
 
-    Returns one row per group with one column per probability (null when the
-    group has no value).
+    Returns one row per group with one column per probability; a group whose
+    values are all null is kept with null quantiles. One pass over the input
+    (the (group, value) count, combined map-side); the rest runs on the
+    counted table.
     """
     group = list(group)
-    counted = (long.where(F.col(value).isNotNull())
-               .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt")))
+    counted = (long.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows"))
+               .withColumn("_cnt", F.when(F.col(value).isNull(), F.lit(0).cast("long"))
+                           .otherwise(F.col("_rows"))))
     ranked = prefix_sums(counted, [value], ["_cnt"], group=group, partitions=partitions)
-    # 0-based ranks covered by a distinct value: [start, end)
+    # 0-based ranks covered by a distinct value: [start, end); empty for null
     ranked = ranked.withColumn("_end", F.col("_cnt_cum")).withColumn(
         "_start", F.col("_cnt_cum") - F.col("_cnt"))
     aggs = []
@@ -97,11 +99,7 @@ def grouped_quantiles(df: DataFrame, group: list[str], cols: list[str], probs: l
         long = df.select(*group, F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
             for c in cols])).alias("_kv")).select(*group, "_kv.column", "_kv.value")
-        q = long_quantiles(long, group + ["column"], "value", probs, names, partitions)
-        # groups whose column is entirely null still get a row
-        keys = df.select(*group).distinct().select(
-            *group, F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
-        return null_safe_join(keys, q, group + ["column"], "left")
+        return long_quantiles(long, group + ["column"], "value", probs, names, partitions)
     aggs = []
     for c in cols:
         for e, name in zip(quantile_exprs(c, probs, method, accuracy), names):

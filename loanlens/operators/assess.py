@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..session import cache
+from ..session import reliable_checkpoint
 from . import evaluate as EV
 from .models import CLASSIFIER, FittedModel, score
 from .tune import cross_validate
@@ -22,16 +22,19 @@ def assess(model: FittedModel, data: DataFrame, cfg: RunConfig, run: str = "defa
     """Metrics rows ``(run, model, task, split, metric, value)`` and, for a
     classifier, the ROC points of both splits."""
     name = label_name or model.name
-    scored = cache(score(model, data))
+    scored = score(model, data)
     rows: list[tuple] = []
     roc = None
     if model.task == CLASSIFIER:
-        acc = EV.accuracy(scored, model.label, "pred", by=[split_col]).collect()
-        aucs = EV.auc(scored, model.label, "score", by=[split_col]).collect()
+        # one pass over the rows: positives / negatives per (split, score);
+        # accuracy (class = score > 0.5), AUC and ROC all come from it
+        counts = reliable_checkpoint(EV.score_counts(scored, model.label, "score", [split_col]))
+        acc = EV.accuracy_from_counts(counts, "score", by=[split_col]).collect()
+        aucs = EV.auc(None, model.label, "score", by=[split_col], counts=counts).collect()
         rows += [(run, name, model.task, r[split_col], "accuracy", float(r["accuracy"])) for r in acc]
         rows += [(run, name, model.task, r[split_col], "auc", float(r["auc"])) for r in aucs]
-        roc = EV.roc_curve(scored, model.label, "score", by=[split_col],
-                           drop_intermediate=cfg.drop_intermediate)
+        roc = EV.roc_curve(None, model.label, "score", by=[split_col],
+                           drop_intermediate=cfg.drop_intermediate, counts=counts)
         if cv:
             train = data.where(F.col(split_col) == "train")
             v = cross_validate(train, model.features, model.label, model.kind, model.task, cfg,

@@ -27,8 +27,18 @@ def score_counts(df: DataFrame, label: str, score: str, by: list[str] = ()) -> D
     return df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
 
 
+def accuracy_from_counts(counts: DataFrame, score: str, by: list[str] = (),
+                         threshold: float = 0.5) -> DataFrame:
+    """EVA1 from per-score counts when the class is ``score > threshold``."""
+    hit = F.when(F.col(score) > threshold, F.col("p")).otherwise(F.col("n"))
+    return counts.groupBy(*by).agg(
+        (F.sum(hit) / F.sum(F.col("p") + F.col("n"))).alias("accuracy"),
+        F.sum(F.col("p") + F.col("n")).alias("n"))
+
+
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = (),
-              drop_intermediate: bool = True, partitions: int | None = None) -> DataFrame:
+              drop_intermediate: bool = True, partitions: int | None = None,
+              counts: DataFrame | None = None) -> DataFrame:
     """EVA2: ROC points (scikit-learn ``roc_curve``), one curve per ``by`` group.
 
     Thresholds are the distinct scores in descending order; each point holds
@@ -39,7 +49,8 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = (),
     Columns: ``by..., idx, threshold, fpr, tpr``.
     """
     by = list(by)
-    g = score_counts(df, label, score, by).withColumn("_one", F.lit(1).cast("long"))
+    g = counts if counts is not None else score_counts(df, label, score, by)
+    g = g.withColumn("_one", F.lit(1).cast("long"))
     c = prefix_sums(g, [score], ["_one", "p", "n"], group=by, descending=True,
                     partitions=partitions)
     c = c.withColumnRenamed("_one_cum", "idx").withColumnRenamed("_one_total", "m")
@@ -56,14 +67,14 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = (),
                    (F.col("n_cum") / F.col("n_total")).alias("fpr"),
                    (F.col("p_cum") / F.col("p_total")).alias("tpr"))
     origin = (c.select(*by).distinct() if by else
-              df.sparkSession.range(1).select()).select(
+              c.sparkSession.range(1).select()).select(
         *by, F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 
 
 def auc(df: DataFrame, label: str, score: str, by: list[str] = (),
-        partitions: int | None = None) -> DataFrame:
+        partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """EVA3: area under the ROC curve by the trapezoid rule.
 
     Each distinct score adds a trapezoid of width n_s / N and mean height
@@ -71,7 +82,7 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] = (),
     area; ties count half, as in scikit-learn.
     """
     by = list(by)
-    g = score_counts(df, label, score, by)
+    g = counts if counts is not None else score_counts(df, label, score, by)
     c = prefix_sums(g, [score], ["p", "n"], group=by, descending=True, partitions=partitions)
     area = F.sum(F.col("n") * (F.col("p_cum") - F.col("p") / 2.0))
     return c.groupBy(*by).agg(

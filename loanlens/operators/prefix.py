@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cache
+from ..session import reliable_checkpoint
 from .joins import null_safe_join
 
 
@@ -39,8 +39,12 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], group: list[str] =
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_sort = _sort_cols(order, descending)
-    ranged = cache(df.repartitionByRange(n, *[F.col(g).asc() for g in group], *order_sort)
-                   .withColumn("_pid", F.spark_partition_id()))
+    # Range bounds are sampled per computation, so the ranged rows are written
+    # once (reliable checkpoint in the shared folder): the totals and the
+    # running sums then read the same partitions, also after a lost executor.
+    ranged = reliable_checkpoint(
+        df.repartitionByRange(n, *[F.col(g).asc() for g in group], *order_sort)
+        .withColumn("_pid", F.spark_partition_id()))
 
     # per (partition, group) totals: at most n rows per group
     totals = ranged.groupBy("_pid", *group).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])

@@ -187,7 +187,8 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
             r, roc = assess(model, data, cfg, run="classic", label_name=short)
             rows += r
             if roc is not None:
-                aucs = EV.auc(M.score(model, data), _label(s, task), "score", by=["split"])
+                aucs = metrics_frame(spark, [x for x in r if x[4] == "auc"]).select(
+                    "split", F.col("value").alias("auc"))
                 rocs.append(C.label_roc(roc, aucs, short))
     net_rows, net_rocs = [], []
     for act in cfg.activations:
@@ -200,16 +201,18 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
                     net = N.train(scaled.where("split = 'train'"), use[task], _label(s, task), spec,
                                   epochs, seed=cfg.seed, mode=net_mode,
                                   scale_target=cfg.scale_target)
-                    sc = reliable_checkpoint(N.score(net, scaled))
+                    sc = N.score(net, scaled)
                     name = spec.name(epochs)
                     if task == M.CLASSIFIER:
-                        aucs = EV.auc(sc, s.flag, "score", by=["split"])
-                        for r in EV.accuracy(sc, s.flag, "pred", by=["split"]).collect():
+                        counts = reliable_checkpoint(EV.score_counts(sc, s.flag, "score", ["split"]))
+                        aucs = reliable_checkpoint(
+                            EV.auc(None, s.flag, "score", by=["split"], counts=counts))
+                        for r in EV.accuracy_from_counts(counts, "score", by=["split"]).collect():
                             net_rows.append(("net", name, task, r["split"], "accuracy", float(r["accuracy"])))
                         for r in aucs.collect():
                             net_rows.append(("net", name, task, r["split"], "auc", float(r["auc"])))
-                        pts = EV.roc_curve(sc, s.flag, "score", by=["split"],
-                                           drop_intermediate=cfg.drop_intermediate)
+                        pts = EV.roc_curve(None, s.flag, "score", by=["split"],
+                                           drop_intermediate=cfg.drop_intermediate, counts=counts)
                         net_rocs.append(C.label_roc(pts, aucs, name))
                     else:
                         for r in EV.rmse(sc, s.amount, "score", by=["split"]).collect():

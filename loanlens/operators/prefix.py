@@ -1,31 +1,105 @@
 """DSP1: distributed prefix sums (global running totals) without a
 single-task window.
 
-``Window.orderBy`` with no partition moves every row into one task. Here the
-rows are range-partitioned on (group, order) so a large group spreads over
-many tasks; per-partition totals (at most ``partitions`` rows per group) give
-each partition its starting offset, and the running sum inside a partition
-adds that offset.
+``Window.orderBy`` with no partition moves every row into one task. Here:
+
+1. The input (normally an aggregate: one row per distinct score or value)
+   is written once with a reliable checkpoint, so its upstream scan runs
+   once. Range bounds on (group, order) come from a bounded random sample of
+   it (at most ``20 x partitions`` keys reach the driver) and enter the plan
+   as literals: every row's range id is a deterministic expression, so a
+   recomputed partition gets the same ids. A hot group receives many bounds
+   and spreads over many ranges.
+2. Per (range, group) totals — at most ``partitions`` rows per group — give
+   each range its starting offset through a small window over the totals.
+3. The running sum is a window partitioned by (range, group) plus that
+   offset.
+
+Steps 2 and 3 are one lazy query over the checkpointed input; the rows are
+shuffled once, for the window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 from .joins import null_safe_join
 
+SAMPLE_PER_RANGE = 20
+MAX_RANGES = 512
+
+
+def _after(c: Column, b, desc: bool) -> Column:
+    """``c`` strictly after the literal ``b`` in the sort order (ascending:
+    nulls first; descending: nulls last)."""
+    if desc:
+        if b is None:
+            return F.lit(False)
+        return F.coalesce(c < F.lit(b), F.lit(False)) | c.isNull()
+    if b is None:
+        return c.isNotNull()
+    return F.coalesce(c > F.lit(b), F.lit(False))
+
+
+def _equal(c: Column, b) -> Column:
+    return c.isNull() if b is None else F.coalesce(c == F.lit(b), F.lit(False))
 
-def _sort_cols(order: list, descending: bool) -> list[Column]:
-    out = []
-    for o in order:
-        c = F.col(o) if isinstance(o, str) else o
-        out.append(c.desc() if descending else c.asc())
-    return out
 
+def _sort_key(desc_flags):
+    """Python sort key matching Spark's order (asc nulls first, desc nulls last)."""
+    class K:
+        __slots__ = ("row",)
 
-def prefix_sums(df: DataFrame, order: list, sums: list[str], group: list[str] = (),
+        def __init__(self, row):
+            self.row = row
+
+        def __lt__(self, other):
+            for a, b, desc in zip(self.row, other.row, desc_flags):
+                if a == b:
+                    continue
+                if a is None:
+                    return not desc
+                if b is None:
+                    return desc
+                return (a > b) if desc else (a < b)
+            return False
+    return K
+
+
+def range_ids(df: DataFrame, keys: list[tuple[str, bool]], n: int, seed: int = 17) -> Column:
+    """Deterministic range id in [0, n) that is monotone in the sort order of
+    ``keys`` (``(column, descending)`` pairs)."""
+    cols = [k for k, _ in keys]
+    flags = [d for _, d in keys]
+    m = SAMPLE_PER_RANGE * n
+    sample = (df.select(*cols).withColumn("_r", F.rand(seed)).orderBy("_r").limit(m)
+              .drop("_r").collect())
+    rows = sorted((tuple(r) for r in sample), key=_sort_key(flags))
+    bounds = []
+    for i in range(1, n):
+        if not rows:
+            break
+        b = rows[min(len(rows) - 1, i * len(rows) // n)]
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    if not bounds:
+        return F.lit(0)
+    terms = []
+    for b in bounds:
+        # lexicographic "key > bound"
+        expr = None
+        for c, v, d in reversed(list(zip(cols, b, flags))):
+            after = _after(F.col(c), v, d)
+            expr = after if expr is None else after | (_equal(F.col(c), v) & expr)
+        terms.append(expr.cast("int"))
+    return reduce(lambda a, b: a + b, terms)
+
+
+def prefix_sums(df: DataFrame, order: list[str], sums: list[str], group: list[str] = (),
                 descending: bool = False, partitions: int | None = None,
                 suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``group``.
@@ -37,17 +111,13 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], group: list[str] =
     """
     group = list(group)
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_sort = _sort_cols(order, descending)
-    # Range bounds are sampled per computation, so the ranged rows are written
-    # once (reliable checkpoint in the shared folder): the totals and the
-    # running sums then read the same partitions, also after a lost executor.
-    ranged = reliable_checkpoint(
-        df.repartitionByRange(n, *[F.col(g).asc() for g in group], *order_sort)
-        .withColumn("_pid", F.spark_partition_id()))
-
-    # per (partition, group) totals: at most n rows per group
-    totals = ranged.groupBy("_pid", *group).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    n = min(MAX_RANGES, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [(g, False) for g in group] + [(o, descending) for o in order]
+    base = reliable_checkpoint(df)
+    x = base.withColumn("_pid", range_ids(base, keys, n))
+
+    order_sort = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
+    totals = x.groupBy("_pid", *group).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -57,15 +127,14 @@ def prefix_sums(df: DataFrame, order: list, sums: list[str], group: list[str] =
         *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_total") for s in sums])
 
     # group keys may be null (null groups are kept), so match them null-safely;
-    # the offsets side has at most partitions + groups rows
-    joined = null_safe_join(ranged, offsets, ["_pid", *group])
+    # the offsets side has at most ranges + groups rows
+    joined = null_safe_join(x, offsets, ["_pid", *group])
     within = Window.partitionBy("_pid", *group).orderBy(*order_sort).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = joined.select(
+    return joined.select(
         *df.columns,
         *[(F.sum(s).over(within) + F.col(f"_o_{s}")).alias(f"{s}{suffix}") for s in sums],
         *[f"{s}_total" for s in sums])
-    return out
 
 
 def global_rank(df: DataFrame, order: list, descending: bool = False,

@@ -37,7 +37,18 @@ def test_rows_never_in_single_partition_window(spark):
     out = prefix_sums(df, ["o"], ["v"])
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # rows were range-partitioned and written once (checkpoint); the running
-    # sum is windowed per range partition
+    # the input is written once (checkpoint); the running sum is windowed per
+    # range id, never over all rows in one partition
     assert "hashpartitioning(_pid" in plan
     assert "Scan ExistingRDD" in plan
+
+
+def test_hot_group_spreads_over_ranges(spark):
+    from loanlens.operators.prefix import range_ids
+    df = spark.range(50000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("cold")).otherwise(F.lit("hot")).alias("g"),
+        F.col("id").alias("o"))
+    ids = df.withColumn("_pid", range_ids(df, [("g", False), ("o", False)], 16))
+    sizes = [r["count"] for r in ids.groupBy("_pid").count().collect()]
+    hot_ranges = ids.where("g = 'hot'").select("_pid").distinct().count()
+    assert hot_ranges >= 8 and max(sizes) < 50000 / 4

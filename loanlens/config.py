@@ -88,8 +88,8 @@ class RunConfig:
     scale_target: bool = True
     # evaluation
     drop_intermediate: bool = True
-    # quantiles: "exact" (one aggregate), "distributed" (rank based) or "approx"
-    quantile_method: str = "distributed"
+    # quantiles: "auto", "exact" (one aggregate), "distributed" (rank based), "approx"
+    quantile_method: str = "auto"
     quantile_accuracy: int = 100_000
     # preparation: fit medians / levels on the training split only (PRE10)
     fit_on_train: bool = False

@@ -22,15 +22,22 @@ from pyspark.sql import functions as F
 from .prefix import prefix_sums
 
 
-# inputs estimated above this size use the rank-based exact method
-DISTRIBUTED_ABOVE_BYTES = 8 << 30
+# inputs scanning more than this (compressed bytes of the leaf relations) use
+# the rank-based exact method; below it one group's distinct values fit a task
+DISTRIBUTED_ABOVE_BYTES = 256 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs)."""
+def scanned_bytes(df: DataFrame) -> int:
+    """Sum of the size statistics of the plan's leaf relations (for files:
+    their size on disk). No job runs. Join estimates are not used: without
+    cost-based statistics Catalyst multiplies the sides."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # estimate unavailable: assume large
+        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            total += int(it.next().stats().sizeInBytes().toString())
+        return total
+    except Exception:  # statistics unavailable: assume large
         return 1 << 62
 
 
@@ -40,7 +47,7 @@ def resolve_method(df: DataFrame, method: str) -> str:
     ``distributed`` method beyond that."""
     if method != "auto":
         return method
-    return "distributed" if estimated_bytes(df) > DISTRIBUTED_ABOVE_BYTES else "exact"
+    return "distributed" if scanned_bytes(df) > DISTRIBUTED_ABOVE_BYTES else "exact"
 
 
 def quantile_exprs(col: str, probs: list[float], method: str = "exact",

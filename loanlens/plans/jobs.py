@@ -70,7 +70,10 @@ def task_frames(df: DataFrame, s: RiskSchema, cfg: RunConfig):
             "split = 'train'").drop("split")
     prep = PR.fit_preparation(df, s, cap=cfg.cap, fit_rows=fit_rows,
                               method=cfg.quantile_method)
-    prepared = SP.split_hash(prep.transform(df), s.key, cfg.seed, cfg.test_fraction)
+    # the feature table is written once; both tasks' fold ranking and their
+    # own frames then read it instead of replaying joins and the median join
+    prepared = reliable_checkpoint(
+        SP.split_hash(prep.transform(df), s.key, cfg.seed, cfg.test_fraction))
     frames = {}
     for task in (M.CLASSIFIER, M.REGRESSOR):
         d = prepared if task == M.CLASSIFIER else SP.loss_population(prepared, s.amount)

@@ -78,10 +78,10 @@ def q_describe_all(spark, sf_dir):
     return rounded(P.describe(rf(spark, sf_dir), NUM))
 
 
-@register("describe_all_percentile", with_rf(_describe_sql([])))
-def q_describe_all_percentile(spark, sf_dir):
-    """AGG2 with Spark's ``percentile`` aggregate for the quartiles."""
-    return rounded(P.describe(rf(spark, sf_dir), NUM, method="exact"))
+@register("describe_all_distributed", with_rf(_describe_sql([])))
+def q_describe_all_distributed(spark, sf_dir):
+    """AGG2 with the rank-based exact quartiles used above the size threshold."""
+    return rounded(P.describe(rf(spark, sf_dir), NUM, method="distributed"))
 
 
 @register("describe_by_category", with_rf(union_all([
@@ -102,10 +102,10 @@ def q_describe_by_categories(spark, sf_dir):
     return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS))
 
 
-@register("describe_by_categories_percentile", with_rf(_describe_sql(CATS)))
-def q_describe_by_categories_percentile(spark, sf_dir):
-    """AGG5 with Spark's ``percentile`` aggregate for the quartiles."""
-    return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS, method="exact"))
+@register("describe_by_categories_distributed", with_rf(_describe_sql(CATS)))
+def q_describe_by_categories_distributed(spark, sf_dir):
+    """AGG5 with the rank-based exact quartiles used above the size threshold."""
+    return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS, method="distributed"))
 
 
 @register("describe_by_categories_approx")
@@ -147,12 +147,12 @@ def q_group_medians(spark, sf_dir):
     return rounded(P.group_medians(rf(spark, sf_dir), CATS, NUM))
 
 
-@register("group_medians_percentile", with_rf(
+@register("group_medians_distributed", with_rf(
     "SELECT reason, job, " + ", ".join(f"{r4(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in NUM)
     + " FROM rf GROUP BY reason, job"))
-def q_group_medians_percentile(spark, sf_dir):
-    """AGG10 with Spark's ``percentile`` aggregate."""
-    return rounded(P.group_medians(rf(spark, sf_dir), CATS, NUM, method="exact"))
+def q_group_medians_distributed(spark, sf_dir):
+    """AGG10 with the rank-based exact medians used above the size threshold."""
+    return rounded(P.group_medians(rf(spark, sf_dir), CATS, NUM, method="distributed"))
 
 
 @register("target_mean_by_segment", with_rf(

@@ -109,3 +109,15 @@ def test_corr_with_flag_removes_self_and_undefined(spark):
                                "f int, a double, z double, c string")
     cols = [r["column_name"] for r in P.corr_with_flag(df, s).collect()]
     assert cols == ["a"]
+
+
+def test_auto_method_uses_scanned_bytes(spark, monkeypatch):
+    from conftest import SF001
+    from loanlens.operators import quantiles as Q
+    from loanlens.sources.frames import risk_frame
+    df = risk_frame(spark, SF001)
+    size = Q.scanned_bytes(df)
+    assert 0 < size < 50 << 20          # the four parquet files, not a join product
+    assert Q.resolve_method(df, "auto") == "exact"
+    monkeypatch.setattr(Q, "DISTRIBUTED_ABOVE_BYTES", size - 1)
+    assert Q.resolve_method(df, "auto") == "distributed"

@@ -35,7 +35,8 @@ def scanned_bytes(df: DataFrame) -> int:
         it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
         total = 0
         while it.hasNext():
-            total += int(it.next().stats().sizeInBytes().toString())
+            v = it.next().stats().sizeInBytes()
+            total += v if isinstance(v, int) else int(v.toString())
         return total
     except Exception:  # statistics unavailable: assume large
         return 1 << 62

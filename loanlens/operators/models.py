@@ -96,7 +96,7 @@ def make_estimator(kind: str, task: str, label: str, cfg: RunConfig, n_train: in
     else:
         raise ValueError(f"unknown model {kind}/{task}")
     for k, v in overrides.items():
-        est = est.set(est.getParam(k), v)
+        est.set(est.getParam(k), v)      # Params.set updates in place
     return est
 
 

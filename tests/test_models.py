@@ -83,3 +83,14 @@ def test_stepwise_logistic_first_steps(spark, frames):
     # the step score is a CV AUC of logistic regression on the chosen pair
     direct = cross_validate(train, trace[1][1], "target_flag", "logistic", M.CLASSIFIER, CFG, "auc")
     assert trace[1][3] == pytest.approx(direct, abs=2e-3)
+
+
+def test_grid_search_refit(spark, frames):
+    from loanlens.operators.tune import grid_search
+    feats, fr = frames
+    train = fr[M.CLASSIFIER].where("split = 'train'")
+    best, table = grid_search(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG)
+    assert len(table) == 4 and set(best) == {"maxDepth", "minInstancesPerNode"}
+    model = M.fit(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG, **best)
+    assert model.estimator.getMaxDepth() == best["maxDepth"]
+    assert model.estimator.getMinInstancesPerNode() == best["minInstancesPerNode"]

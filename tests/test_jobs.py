@@ -43,3 +43,11 @@ def test_linear_job(spark):
     sels = {r["selection"] for r in t["selections"].collect()}
     assert {"All", "stepwise"} <= sels
     assert t["stepwise_trace"].count() == 4
+
+
+def test_fit_job_grid_and_compare_with_selection(spark):
+    df = risk_frame(spark, SF001)
+    t = jobs.fit_job(df, S, SMALL, kinds=("tree",), grid=True, cv=False)
+    assert {r["run"] for r in t["metrics"].collect()} == {"grid"}
+    c = jobs.compare_job(df, S, SMALL, var_model="tree")
+    assert c["rmse_comparison"].count() > 0 and c["roc_comparison"].count() > 0

@@ -9,8 +9,6 @@ from ..session import reliable_checkpoint
 
 #: ASCII white space, the separators of every "word" in this subpackage.
 SPACE = " \t\n\x0b\f\r"
-#: The same as a regular expression class body (Java, RE2 and Python).
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +34,11 @@ def text_of(name: str = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text (maximal runs without ASCII white space)."""
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, SPACE_CLASS))
+    """Array of the words of a text (maximal runs without ASCII white space).
+    Split at single blanks: a one-character split needs no regular expression."""
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

@@ -99,6 +99,10 @@ def add_counts(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
         names["repeat_share"]: share("n_repeat_words", "n_words"),
         names["word_length"]: share("word_chars", "n_words"),
         names["upper_share"]: share("n_upper", "word_chars")})
+    # a column that differs by row keeps later filters from being moved below, where
+    # they would hold all the expressions above in place of the column names
+    [b] = fresh(out, "q_row")
+    out = out.withColumn(b, F.monotonically_increasing_id()).where(F.col(b) >= 0).drop(b)
     return out, {k: names[k] for k in made}
 
 
@@ -148,7 +152,7 @@ def calibrate(scored: DataFrame, names: dict[str, str], labels: DataFrame, key:
                 F.struct(F.lit(r).alias("rule"), F.lit(g).alias("cutoff"), F.col(f"g{i}").alias("k_good"),
                          F.col(f"b{i}").alias("k_bad")) for i, (r, g) in enumerate(tests)])).alias("t"))
             .select("stratum", "n_good", "t.*")
-            .withColumn("strata", F.lit(strata.first()["strata"])))
+            .withColumn("strata", F.lit(max(1, strata.first()["strata"]))))
     p = alpha / len(GRID)
     # k at or above n p cannot be certified; this also bounds the sum's length
     certified = (long.where((F.col("k_good") < F.col("n_good") * p) & (F.col("k_bad") > 0))

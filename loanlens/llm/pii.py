@@ -118,7 +118,7 @@ def add_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
             near = F.when(before.rlike(rf"(?<![\p{{L}}])(?:{WORDS[k]})"), CONTEXT_SHARE).otherwise(0.0)
             return F.struct(F.lit(n).alias("kind"), at.alias("start"), (at + F.length(v)).alias("end"),
                             F.round(F.lit(PRIOR[k] + CHECKSUM.get(k, 0.0)) + near, 3).alias("score"), v.alias("v"))
-        pairs = F.arrays_zip(F.col(f"`{f}`").alias("v"), F.col(f"`{s}`").alias("at"))
+        pairs = F.arrays_zip(F.col(f"`{f}`").alias("v"), F.slice(F.col(f"`{s}`"), 1, F.size(F.col(f"`{f}`"))).alias("at"))
         all_ = F.filter(F.transform(pairs, span), lambda x: _valid(k, x["v"]))
         if k not in BASE:
             all_ = F.filter(all_, lambda x: x["score"] >= MIN_SCORE)

@@ -221,7 +221,7 @@ def test_substring_dedup(spark):
         texts[(i, left + text[at:])] += n
     assert Counter((r.doc_id, r.text or "") for r in got) == texts
     repeats = sum(len(c) > 0 for c in want.values())
-    assert repeats >= 30 and out.columns[:len(d.columns)] == d.columns
+    assert repeats >= 15 and out.columns[:len(d.columns)] == d.columns
     one = [r for r in got if r.doc_id == 7]
     assert len(one) == 2 and all(PASSAGE.split(".")[1] not in r.text for r in one)     # 1 keeps the passage, 7 loses it
     assert substring.remove_repeats(d.limit(0))[0].count() == 0
@@ -256,7 +256,7 @@ PII = ["a@b.c_d@e.f", "x@y", "x@y.z.", "a@b.c@d.e.f", "é.a@b.com 1.2.3.4.5.6.7.
        "4539 1488 0343 6467 4539-1488-0343-6467 12 4539148803436467 1", "45391488034364671 6011000990139424--5",
        "+1 (202) 555-0100 +12 +1++49 30 1234567. +1-", "1" * 5000, "1 " * 5000, "a" * 50_000 + "@b.cd", "@" * 3000,
        "+1" + " " * 3000 + "2", "𝔘 a@b.cd 𝔘 10.0.0.1", "5 4 3 2 1 5 4 3 2 1 5 4 3 2 1 5 4 3 2 1 9",
-       "DE89 3704 0044 0532 0130 00 and DE89370400440532013001 ssn 123-45-6789 plain 123-45-6789"]
+       "DE89 3704 0044 0532 0130 00 and DE89370400440532013001 ssn 123-45-6789, forty characters or more behind it plain 123-45-6789"]
 
 
 def test_pii_base(spark):
@@ -281,7 +281,7 @@ def test_pii_added_and_redacted(spark):
     text = {r.doc_id: r.text for r in red.collect()}
     assert red.columns == d.columns
     assert text[2] is None and text[3] == "mail me: <EMAIL>, bye"
-    assert text[1] == "<IBAN> and DE89370400440532013001 ssn <SSN> plain 123-45-6789"
+    assert text[1] == "<IBAN> and DE89370400440532013001 ssn <SSN>, forty characters or more behind it plain 123-45-6789"
     assert text[4] == "+<CARD>"
     assert pii.redact(d.limit(0)).count() == 0
 

@@ -162,10 +162,8 @@ class PieceModel:
             out[ask[~known]] = value[back]
             s = ((new * 0x9E3779B1) >> 7) & (SLOTS - 1)
             self.slot_key[s] = new
-            self.slot_value[s] = value
-            # pairs that share a slot: the last key written must go with its own value
-            lost = self.slot_key[s] != new
-            self.slot_value[s[~lost]] = value[~lost]
+            held = self.slot_key[s] == new      # of pairs that share a slot, one is held
+            self.slot_value[s[held]] = value[held]
         return out
 
     def learn(self, units: list[str]) -> None:
@@ -178,7 +176,7 @@ class PieceModel:
         code = self.code[points]
         code[stops] = 1
         n = len(code)
-        padded = np.concatenate([code, np.ones(self.longest - 1, ">u2")])
+        padded = np.concatenate([code, np.ones(self.longest - 1, ">u2")]).astype(">u2")
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.longest)).view(
             f"S{2 * self.longest}").ravel()
         order = np.argsort(keys, kind="stable")

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, read_table, text_of
 
@@ -234,7 +235,7 @@ class PieceModel:
         """Little-endian uint32 ids of each text."""
         if len(self.units) > CACHE:
             self.units.clear()
-        split = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        split = [_UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new: set[str] = set()
         for units in split:
             new.update(units)
@@ -276,7 +277,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``docs`` with a binary column of little-endian uint32 ids of ``text`` (null: none)."""
-    [ids] = fresh(docs, ids) if ids in docs.columns else [ids]
+    [ids] = fresh(docs, ids)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -287,12 +288,12 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 found = model.encode([t or "" for t in part.column(at).to_pylist()])
                 yield pa.record_batch([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, "binary"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``coded`` with a column of the text that its ids spell."""
-    at = coded.columns.index(ids)
+    [text], at = fresh(coded, text), coded.columns.index(ids)
 
     def run(batches):
         model = piece_model(path)
@@ -302,7 +303,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 found = [model.decode(i or b"") for i in part.column(at).to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(found, pa.string())], [*part.schema.names, text])
 
-    return coded.mapInArrow(run, coded.schema.add(text, "string"))
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,23 +230,24 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (smallest doc_id reachable) per document."""
+    """doc_id, text_hash, fp, root (smallest fingerprint reachable) and component_id
+    (smallest doc_id reachable) per document."""
     prints = table(fingerprints(docs, shingle))
     distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(link_fingerprints(distinct.select("fp"), max_bits))
     classes = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(names, "root").select("fp", "component_id")
+    named = classes.join(names, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: the one with the smallest id (of rows that share it, one)."""
     found = near_duplicates(docs, shingle, max_bits)
-    keep = (found.groupBy(F.coalesce("component_id", "fp").alias("g"), F.isnull("component_id").alias("anonymous"))
-            .agg(F.min(F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("k"))
-            .select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")))
+    keep = (found.groupBy("root").agg(F.min(F.struct(
+        F.isnull("doc_id").alias("z"), "doc_id", "text_hash")).alias("k")).select(
+            F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")))
     h, kid, kh = fresh(docs, "text_hash_", "keep_id", "keep_hash")
     keep = keep.select(F.col("keep_id").alias(kid), F.col("keep_hash").alias(kh))
     out = docs.withColumn(h, F.xxhash64("text"))

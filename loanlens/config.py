@@ -88,9 +88,12 @@ class RunConfig:
     scale_target: bool = True
     # evaluation
     drop_intermediate: bool = True
-    # quantiles: "auto", "exact" (one aggregate), "distributed" (rank based), "approx"
-    quantile_method: str = "auto"
+    # quantiles: "distributed" (exact, rank based), "exact" (one aggregate), "approx"
+    quantile_method: str = "distributed"
     quantile_accuracy: int = 100_000
+    # "hash": one shared row-local split; "separate": a hash split per task;
+    # "exact": ceil(test_fraction * n) test rows of each task's population
+    split_mode: str = "hash"
     # preparation: fit medians / levels on the training split only (PRE10)
     fit_on_train: bool = False
     grid: dict = field(default_factory=lambda: dict(DEFAULT_GRID))

@@ -22,7 +22,7 @@ def skewness_unbiased(c) -> Column:
     Spark's own aggregate returns null).
     """
     x = _c(c)
-    n = F.count(x)
+    n = F.count(x).cast("double")       # n (n - 1) leaves 63 bits beyond 3e9 rows
     g1 = F.skewness(x)
     return (F.when(n < 3, F.lit(None).cast("double"))
             .when(F.min(x) == F.max(x), F.lit(0.0))
@@ -36,7 +36,7 @@ def kurtosis_unbiased(c) -> Column:
     kurtosis of ``F.kurtosis``. Null below four values; 0 for a constant.
     """
     x = _c(c)
-    n = F.count(x)
+    n = F.count(x).cast("double")
     g2 = F.kurtosis(x)
     return (F.when(n < 4, F.lit(None).cast("double"))
             .when(F.min(x) == F.max(x), F.lit(0.0))

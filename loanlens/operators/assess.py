@@ -18,9 +18,10 @@ METRICS_SCHEMA = "run string, model string, task string, split string, metric st
 
 def assess(model: FittedModel, data: DataFrame, cfg: RunConfig, run: str = "default",
            split_col: str = "split", cv: bool = False, fold_col: str = "fold",
-           label_name: str | None = None) -> tuple[list[tuple], DataFrame | None]:
+           label_name: str | None = None, overrides: dict | None = None) -> tuple[list[tuple], DataFrame | None]:
     """Metrics rows ``(run, model, task, split, metric, value)`` and, for a
-    classifier, the ROC points of both splits."""
+    classifier, the ROC points of both splits. ``overrides`` are the tuned
+    parameters the model was fitted with; cross-validation refits with them."""
     name = label_name or model.name
     scored = score(model, data)
     rows: list[tuple] = []
@@ -38,7 +39,7 @@ def assess(model: FittedModel, data: DataFrame, cfg: RunConfig, run: str = "defa
         if cv:
             train = data.where(F.col(split_col) == "train")
             v = cross_validate(train, model.features, model.label, model.kind, model.task, cfg,
-                               "auc", fold_col=fold_col)
+                               "auc", fold_col=fold_col, **(overrides or {}))
             rows.append((run, name, model.task, "train_cv", "auc", v))
     else:
         err = EV.rmse(scored, model.label, "score", by=[split_col]).collect()
@@ -49,7 +50,7 @@ def assess(model: FittedModel, data: DataFrame, cfg: RunConfig, run: str = "defa
         if cv:
             train = data.where(F.col(split_col) == "train")
             v = cross_validate(train, model.features, model.label, model.kind, model.task, cfg,
-                               "rmse", fold_col=fold_col)
+                               "rmse", fold_col=fold_col, **(overrides or {}))
             rows.append((run, name, model.task, "train_cv", "rmse", v))
     return rows, roc
 

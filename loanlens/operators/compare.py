@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 
 def _split_title():
     return F.when(F.col("split") == "test", "Test").otherwise("Train")
@@ -16,7 +18,7 @@ def label_roc(points: DataFrame, aucs: DataFrame, model: str, by: list[str] = ("
     """ROC points with the reference's legend texts:
     ``label = "AUC <Split>: 0.xxx"`` and ``model_auc = "<model> AUC: 0.xxx"``."""
     by = list(by)
-    j = points.join(F.broadcast(aucs), on=by, how="left")   # one row per split
+    j = points.join(aucs, on=by, how="left")
     return j.select(
         F.lit(model).alias("model"), *by, "idx", "threshold", "fpr", "tpr", "auc",
         F.format_string("AUC %s: %.3f", _split_title(), F.col("auc")).alias("label"),
@@ -40,7 +42,9 @@ def contains(df: DataFrame, col: str, text: str) -> DataFrame:
 
 def keep_max(df: DataFrame, col: str) -> DataFrame:
     """FLT5: rows equal to the column's maximum, all ties kept. A semi join on
-    the one-row maximum (no cross join, no single-task window)."""
+    the one-row maximum (no cross join, no single-task window). The rows are written
+    first: a sum computed twice may differ in its last digit and equal no row."""
+    df = reliable_checkpoint(df)
     top = df.agg(F.max(col).alias(col))
     return df.join(top, on=col, how="left_semi")
 

@@ -86,7 +86,7 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] = (),
     c = prefix_sums(g, [score], ["p", "n"], group=by, descending=True, partitions=partitions)
     area = F.sum(F.col("n") * (F.col("p_cum") - F.col("p") / 2.0))
     return c.groupBy(*by).agg(
-        F.try_divide(area, F.first("p_total") * F.first("n_total")).alias("auc"))
+        F.try_divide(area, F.first("p_total").cast("double") * F.first("n_total").cast("double")).alias("auc"))
 
 
 def rmse(df: DataFrame, label: str, pred: str, by: list[str] = ()) -> DataFrame:

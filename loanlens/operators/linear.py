@@ -98,10 +98,3 @@ def cv_rmse(grams: np.ndarray, cols: list[int]) -> list[float] | None:
         n = grams[k][0, 0]
         out.append(float(np.sqrt(max(sse_from_gram(grams[k], cols, beta), 0.0) / n)))
     return out
-
-
-def unscale(beta: np.ndarray, idx: list[int], mean: np.ndarray, scale: np.ndarray):
-    """Intercept and raw-unit coefficients from a fit on ``[1, z_idx]``."""
-    coefs = beta[1:] / scale[idx]
-    intercept = beta[0] - float(np.sum(coefs * mean[idx]))
-    return intercept, coefs

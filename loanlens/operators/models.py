@@ -51,7 +51,7 @@ class FittedModel:
 
 
 def assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
 def make_estimator(kind: str, task: str, label: str, cfg: RunConfig, n_train: int | None = None,

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from ..config import RiskSchema
 from .joins import null_safe_join
-from .profile import describe, group_medians, null_counts
+from .prefix import global_rank
+from .profile import describe, group_medians, head, null_counts
 
 UNKNOWN = "Unknown"
-# a median table larger than this many groups is joined by shuffle, not broadcast
-BROADCAST_GROUPS = 100_000
-MAX_LEVELS = 10_000
 
 
 def fill_unknown(df: DataFrame, s: RiskSchema) -> DataFrame:
@@ -42,7 +40,6 @@ class Imputer:
     schema: RiskSchema
     null_cols: list[str]
     medians: DataFrame           # categorical..., one median column per null column
-    n_groups: int
 
     def transform(self, df: DataFrame) -> DataFrame:
         s = self.schema
@@ -51,8 +48,7 @@ class Imputer:
         if not self.null_cols:
             return filled
         med = self.medians.select(*cats, *[F.col(c).alias(f"_med_{c}") for c in self.null_cols])
-        if self.n_groups <= BROADCAST_GROUPS:
-            med = F.broadcast(med)       # size checked at fit time
+        # no hint: the measured size decides between broadcast and shuffle
         joined = null_safe_join(filled, med, cats, "left")
         keep = [c for c in df.columns if c not in self.null_cols]
         added = []
@@ -62,20 +58,30 @@ class Imputer:
         return joined.select(*keep, *added)
 
 
-def fit_imputer(df: DataFrame, s: RiskSchema, method: str = "auto") -> Imputer:
+def fit_scan(df: DataFrame, s: RiskSchema) -> tuple[list[str], dict[str, list[str]]]:
+    """Features with a null and the sorted levels of every category (``Unknown``
+    for null), in one aggregate. The levels become the output's columns, so all
+    of them are read; a category too wide for columns goes through
+    ``encode_levels`` instead."""
+    feats = list(s.features)
+    row = df.select(
+            *[F.col(c).isNull().alias(f"n{i}") for i, c in enumerate(feats)],
+            *[F.coalesce(F.col(c), F.lit(UNKNOWN)).alias(f"l{i}") for i, c in enumerate(s.categorical)]).agg(
+            *[F.max(f"n{i}").alias(f"n{i}") for i in range(len(feats))],
+            *[F.collect_set(f"l{i}").alias(f"l{i}") for i in range(len(s.categorical))]).first()
+    return ([c for i, c in enumerate(feats) if row[f"n{i}"]],
+            {c: sorted(row[f"l{i}"]) for i, c in enumerate(s.categorical)})
+
+
+def imputer_of(df: DataFrame, s: RiskSchema, null_cols: list[str], method: str) -> Imputer:
+    med = group_medians(fill_unknown(df, s), list(s.categorical), null_cols, method=method) if null_cols else None
+    return Imputer(s, null_cols, med)
+
+
+def fit_imputer(df: DataFrame, s: RiskSchema, method: str = "distributed") -> Imputer:
     """Columns with at least one null (targets skipped) and their medians per
     category group, the groups formed after filling ``Unknown``."""
-    feats = list(s.features)
-    counts = {r["column_name"]: r["nulls"] for r in null_counts(df, feats).collect()}
-    null_cols = [c for c in feats if counts[c] > 0]
-    filled = fill_unknown(df, s)
-    if null_cols:
-        med = group_medians(filled, list(s.categorical), null_cols, method=method)
-        med = med.cache()
-        n_groups = med.count()
-    else:
-        med, n_groups = None, 0
-    return Imputer(s, null_cols, med, n_groups)
+    return imputer_of(df, s, fit_scan(df, s)[0], method)
 
 
 @dataclass
@@ -96,15 +102,18 @@ class DummyEncoder:
 
 def fit_dummies(df: DataFrame, s: RiskSchema) -> DummyEncoder:
     """Distinct levels of every category in one aggregate, sorted by string order."""
-    filled = fill_unknown(df, s)
-    levels = {}
-    for c in s.categorical:
-        # distinct levels, at most MAX_LEVELS + 1 of them reach the driver
-        lv = sorted(r[0] for r in filled.select(c).distinct().limit(MAX_LEVELS + 1).collect())
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; too many for dummy columns")
-        levels[c] = lv
-    return DummyEncoder(levels)
+    return DummyEncoder(fit_scan(df, s)[1])
+
+
+def encode_levels(df: DataFrame, col: str, out: str) -> DataFrame:
+    """PRE4 for a category too wide for columns: the levels stay a table (distinct,
+    ranked in string order by DSP1) and each row gets ``out``, the 0-based place of its
+    level, for a one-hot vector or an embedding. The place of the last level is the
+    one that dummies drop."""
+    levels = global_rank(df.select(F.coalesce(F.col(col), F.lit(UNKNOWN)).alias("_level")).distinct(), ["_level"])
+    places = levels.select("_level", (F.col("rank") - 1).alias(out))
+    return (df.withColumn("_level", F.coalesce(F.col(col), F.lit(UNKNOWN)))
+            .join(places, "_level", "left").drop("_level"))
 
 
 @dataclass
@@ -133,12 +142,12 @@ class Preparation:
 
 def fit_preparation(df: DataFrame, s: RiskSchema, cap: float = 25_000.0,
                     fit_rows: DataFrame | None = None, reports: bool = False,
-                    method: str = "auto") -> Preparation:
+                    method: str = "distributed") -> Preparation:
     """Fit PRE1-PRE5 on ``fit_rows`` (default: all rows, as the reference
     does; pass the training split for the leak-free PRE10)."""
     base = fit_rows if fit_rows is not None else df
-    imp = fit_imputer(base, s, method)
-    dum = fit_dummies(base, s)
+    null_cols, levels = fit_scan(base, s)
+    imp, dum = imputer_of(base, s, null_cols, method), DummyEncoder(levels)
     prep = Preparation(s, imp, dum, cap)
     if reports:
         imputed = imp.transform(df)
@@ -148,6 +157,7 @@ def fit_preparation(df: DataFrame, s: RiskSchema, cap: float = 25_000.0,
             "null_counts_after": null_counts(imputed),
             "amount_before_cap": describe(df, [s.amount], method=method),
             "amount_after_cap": describe(cap_amount(df, s.amount, cap), [s.amount], method=method),
+            "first_rows_before": head(df, s.key), "first_rows_after": head(imputed, s.key),
         }
     return prep
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import RiskSchema
 from ..functions.stats import kurtosis_unbiased, pearson, skewness_unbiased, stack_expr
 from .joins import null_safe_join
-from .quantiles import grouped_quantiles, resolve_method
+from .quantiles import grouped_quantiles
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
@@ -38,11 +38,10 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str], by: list[str] = (),
-             method: str = "auto", accuracy: int = 100_000) -> DataFrame:
+             method: str = "distributed", accuracy: int = 100_000) -> DataFrame:
     """AGG2-AGG5: pandas ``describe`` per column (and per ``by`` group, null
     groups kept): count, mean, std (n-1), min, quartiles (linear), max."""
     by = list(by)
-    method = resolve_method(df, method)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -86,11 +85,10 @@ def skew_kurtosis(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(stack_expr(items, ["column_name", "skewness", "kurtosis"]))
 
 
-def group_medians(df: DataFrame, by: list[str], cols: list[str], method: str = "auto",
+def group_medians(df: DataFrame, by: list[str], cols: list[str], method: str = "distributed",
                   accuracy: int = 100_000) -> DataFrame:
     """AGG10: median of every column per group, null groups kept (wide)."""
     by = list(by)
-    method = resolve_method(df, method)
     if method == "distributed":
         long = grouped_quantiles(df, by, cols, [0.5], ["median"], method="distributed")
         return long.groupBy(*by).pivot("column", list(cols)).agg(F.first("median"))

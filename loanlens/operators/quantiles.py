@@ -1,12 +1,12 @@
 """Exact and approximate quantiles with linear interpolation (pandas
 ``quantile``, DuckDB ``quantile_cont``).
 
-Three methods:
+Three methods, chosen by the caller and never by the input's size:
 
 * ``exact``: Spark's ``percentile`` aggregate. Partial aggregation keeps a map
   of distinct values with counts per group, so memory grows with the number
   of distinct values of the largest group.
-* ``distributed``: exact and bounded per task. Values are counted per
+* ``distributed`` (default): exact and bounded per task. Values are counted per
   (group, value), ranked with the range-partitioned prefix sum of
   ``prefix.py``, and the two order statistics around each quantile position
   are picked by an aggregate. A hot group is spread over many range
@@ -22,35 +22,6 @@ from pyspark.sql import functions as F
 from .prefix import prefix_sums
 
 
-# inputs scanning more than this (compressed bytes of the leaf relations) use
-# the rank-based exact method; below it one group's distinct values fit a task
-DISTRIBUTED_ABOVE_BYTES = 256 << 20
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Sum of the size statistics of the plan's leaf relations (for files:
-    their size on disk). No job runs. Join estimates are not used: without
-    cost-based statistics Catalyst multiplies the sides."""
-    try:
-        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while it.hasNext():
-            v = it.next().stats().sizeInBytes()
-            total += v if isinstance(v, int) else int(v.toString())
-        return total
-    except Exception:  # statistics unavailable: assume large
-        return 1 << 62
-
-
-def resolve_method(df: DataFrame, method: str) -> str:
-    """``auto``: Spark's ``percentile`` aggregate while the input is small
-    enough that the distinct values of one group fit a task; the rank-based
-    ``distributed`` method beyond that."""
-    if method != "auto":
-        return method
-    return "distributed" if scanned_bytes(df) > DISTRIBUTED_ABOVE_BYTES else "exact"
-
-
 def quantile_exprs(col: str, probs: list[float], method: str = "exact",
                    accuracy: int = 100_000):
     """Per-column aggregate expressions (methods ``exact`` / ``approx``)."""
@@ -97,12 +68,11 @@ def long_quantiles(long: DataFrame, group: list[str], value: str, probs: list[fl
 
 
 def grouped_quantiles(df: DataFrame, group: list[str], cols: list[str], probs: list[float],
-                      names: list[str], method: str = "exact", accuracy: int = 100_000,
+                      names: list[str], method: str = "distributed", accuracy: int = 100_000,
                       partitions: int | None = None) -> DataFrame:
     """Quantiles of each column of ``cols`` per ``group``, in long form:
     ``group..., column, <name per prob>``."""
     group = list(group)
-    method = resolve_method(df, method)
     if method == "distributed":
         long = df.select(*group, F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))

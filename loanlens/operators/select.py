@@ -193,18 +193,22 @@ def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_co
             weights = weights - step_w
             if np.max(np.abs(step_w)) < tol:
                 break
+        else:
+            raise RuntimeError(f"Newton's method did not converge in {max_iter} iterations (step {step})")
         scores = _heldout_scores(train, features, label, fold_col, mean, scale, chosen, cands,
                                  weights, folds)
         aucs = grouped_auc(scores, "y", "score", by=["cand", "fold"]).collect()
         per = np.full((len(cands), folds), np.nan)
         for r in aucs:
             per[r["cand"], r["fold"]] = r["auc"]
-        avg = np.nanmean(per, axis=1)
-        best = int(np.nanargmax(avg))
+        if np.isnan(per).any():
+            raise ValueError("a fold holds one class only; its AUC is undefined")
+        avg = per.mean(axis=1)
+        best = int(avg.argmax())
         chosen.append(cands[best])
         prev_w = weights[best]
         trace.append((step, [features[c] for c in chosen], features[cands[best]],
-                      float(avg[best]), float(np.nanstd(per[best]))))
+                      float(avg[best]), float(per[best].std())))
     top = max(range(len(trace)), key=lambda i: (trace[i][3], -i))
     return list(trace[top][1]), trace
 

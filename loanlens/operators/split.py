@@ -6,8 +6,6 @@ partitioning, file layout or re-execution after a lost executor.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +46,6 @@ def split_exact(df: DataFrame, key: str, seed=1, test_fraction: float = 0.2,
     """
     h = df.withColumn("_h", key_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = prefix_sums(h, ["_h", key], ["_one"], partitions=partitions)
-    n_test = F.ceil(F.col("_one_total") * F.lit(float(test_fraction)))
     # guard against float noise in f * n (0.2 * 5960 = 1192.0000000000002)
     n_test = F.ceil(F.round(F.col("_one_total") * F.lit(float(test_fraction)), 9))
     return ranked.withColumn(col, F.when(F.col("_one_cum") <= n_test, "test").otherwise("train")) \
@@ -72,7 +69,3 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed=1, stratify: str | No
     ranked = prefix_sums(x, ["_h", key], ["_one"], group=[stratify], partitions=partitions)
     return (ranked.withColumn(col, F.pmod(F.col("_one_cum") - 1, F.lit(k)).cast("int"))
             .drop("_h", "_one", "_one_cum", "_one_total"))
-
-
-def expected_test_rows(n: int, fraction: float = 0.2) -> int:
-    return math.ceil(round(n * fraction, 9))

@@ -30,7 +30,7 @@ def cross_validate(train: DataFrame, features: list[str], label: str, kind: str,
                    n_train: int | None = None, parallelism: int | None = None,
                    **overrides) -> float:
     """TUN2 / TUN3: mean over folds of the metric of the model refitted on
-    the other folds (fold fits run concurrently)."""
+    the other folds."""
     if kind == "logistic" and n_train is None:
         n_train = train.count()
     k = cfg.folds

@@ -28,19 +28,20 @@ from ..operators import profile as P
 from ..operators import select as S
 from ..operators import split as SP
 from ..operators.assess import assess, metrics_frame
-from ..session import cache, reliable_checkpoint
+from ..session import cache, reliable_checkpoint, stored
 from ..sources.sinks import settings_name, write_csv, write_reports
 
 
 def profile_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
                 out: str | None = None) -> dict[str, DataFrame]:
-    """Entry A: AGG1-AGG16 over one cached scan."""
+    """Entry A: AGG1-AGG16 over one cached scan, released where the tables are written."""
     base = cache(df)
     num, cats = list(s.numeric), list(s.categorical)
     vc = [P.value_counts(base, c).select(F.lit(c).alias("category"), F.col(c).alias("level"), "count")
           for c in cats]
     tables = {
         "frame_info": P.frame_info(base),
+        "first_rows": P.head(base, s.key),
         "describe": P.describe(base, num, method=cfg.quantile_method),
         "value_counts": C.union_all(vc),
         "skew_kurtosis": P.skew_kurtosis(base, num),
@@ -58,33 +59,63 @@ def profile_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
     }
     if out:
         write_reports(tables, out)
+        base.unpersist()
     return tables
 
 
-def task_frames(df: DataFrame, s: RiskSchema, cfg: RunConfig):
+def split_of(df: DataFrame, s: RiskSchema, cfg: RunConfig, task: str) -> DataFrame:
+    """PRE8 in the run's mode; a shared hash split gives both tasks the same test rows."""
+    if cfg.split_mode == "exact":
+        return SP.split_exact(df, s.key, cfg.seed, cfg.test_fraction)
+    if cfg.split_mode == "separate":
+        return SP.split_hash(df, s.key, f"{cfg.seed}-{task}", cfg.test_fraction)
+    return SP.split_hash(df, s.key, cfg.seed, cfg.test_fraction)
+
+
+def task_frames(df: DataFrame, s: RiskSchema, cfg: RunConfig, tasks=(M.CLASSIFIER, M.REGRESSOR)):
     """PRE6 + PRE7 + PRE8 + TUN4: prepared classification and regression
-    frames with ``split`` and train ``fold``, each written once."""
+    frames with ``split`` and train ``fold``, each written once as parquet
+    partitioned by split, so that a fit reads its columns and the train rows only."""
     fit_rows = None
     if cfg.fit_on_train:
+        if cfg.split_mode != "hash":
+            raise ValueError("fit_on_train needs the shared hash split")
         fit_rows = SP.split_hash(df, s.key, cfg.seed, cfg.test_fraction).where(
             "split = 'train'").drop("split")
     prep = PR.fit_preparation(df, s, cap=cfg.cap, fit_rows=fit_rows,
                               method=cfg.quantile_method)
     # the feature table is written once; both tasks' fold ranking and their
     # own frames then read it instead of replaying joins and the median join
-    prepared = reliable_checkpoint(
-        SP.split_hash(prep.transform(df), s.key, cfg.seed, cfg.test_fraction))
+    prepared = stored(prep.transform(df), "prepared")
     frames = {}
-    for task in (M.CLASSIFIER, M.REGRESSOR):
+    for task in tasks:
         d = prepared if task == M.CLASSIFIER else SP.loss_population(prepared, s.amount)
+        d = split_of(d, s, cfg, task)
         strat = s.flag if task == M.CLASSIFIER else None
         train = SP.assign_folds(d.where("split = 'train'"), s.key, cfg.folds, cfg.seed,
                                 stratify=strat)
         test = d.where("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
-        frames[task] = reliable_checkpoint(train.unionByName(test))
+        frames[task] = stored(train.unionByName(test), task, partition_by="split")
     return prep, frames
 
 
+def preparation_reports(df: DataFrame, s: RiskSchema, cfg: RunConfig, frames: dict) -> dict[str, DataFrame]:
+    """SNK2: null counts, group medians, first rows and loss amounts before and
+    after preparation, split counts and target statistics of every split."""
+    tables = {f"prepare_{k}": v for k, v in PR.fit_preparation(
+        df, s, cap=cfg.cap, reports=True, method=cfg.quantile_method).reports.items()}
+    for task, data in frames.items():
+        tables[f"split_{task}"] = P.describe(data, [_label(s, task)], by=["split"], method=cfg.quantile_method)
+    return tables
+
+
+def _labelled(roc: DataFrame, rows: list[tuple], name: str) -> DataFrame:
+    """ROC points with the legend texts, from the metric rows of the same model."""
+    aucs = roc.sparkSession.createDataFrame(
+        [(x[3], x[5]) for x in rows if x[4] == "auc" and x[3] != "train_cv"], "split string, auc double")
+    return C.label_roc(roc, aucs, name)
+
+
 def _label(s: RiskSchema, task: str) -> str:
     return s.flag if task == M.CLASSIFIER else s.amount
 
@@ -106,15 +137,17 @@ def fit_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
             if grid:
                 params, _ = grid_search(train, feats, _label(s, task), kind, task, cfg)
             model = M.fit(train, feats, _label(s, task), kind, task, cfg, **params)
-            r, roc = assess(model, data, cfg, run="grid" if grid else "default", cv=cv)
+            r, roc = assess(model, data, cfg, run="grid" if grid else "default", cv=cv, overrides=params)
             rows += r
             if roc is not None:
-                rocs.append(roc.withColumn("model", F.lit(model.name)))
+                rocs.append(_labelled(roc, r, model.name))
             imps.append(M.importances(model, positive_only=True))
             if kind == "tree":
                 nodes.append(M.tree_nodes(model).withColumn("model", F.lit(model.name)))
-    tables = {"metrics": metrics_frame(spark, rows), "roc_points": C.union_all(rocs),
-              "importances": C.union_all(imps)}
+    points = reliable_checkpoint(C.union_all(rocs))
+    tables = {"metrics": metrics_frame(spark, rows), "roc_points": points,
+              "roc_comparison": points.where("split = 'test'"), "importances": C.union_all(imps),
+              **preparation_reports(df, s, cfg, frames)}
     if nodes:
         tables["tree_nodes"] = C.union_all(nodes)
     if out:
@@ -130,7 +163,7 @@ def linear_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
     spark = df.sparkSession
     prep, frames = task_frames(df, s, cfg)
     feats = prep.feature_cols
-    rows, coefs, traces, chosen_rows = [], [], [], []
+    rows, coefs, traces, chosen_rows, rocs = [], [], [], [], []
     for task, kind in ((M.CLASSIFIER, "logistic"), (M.REGRESSOR, "linear")):
         data = frames[task]
         train = data.where("split = 'train'")
@@ -150,12 +183,16 @@ def linear_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
             if not cols:
                 continue
             model = M.fit(train, cols, label, kind, task, cfg)
-            r, _ = assess(model, data, cfg, run=name, cv=True)
+            r, roc = assess(model, data, cfg, run=name, cv=True)
             rows += r
+            if roc is not None:
+                rocs.append(_labelled(roc, r, f"{model.name} {name}"))
             coefs.append(M.coefficients(model).withColumn("selection", F.lit(name)))
             chosen_rows += [(task, name, i, c) for i, c in enumerate(cols)]
     tables = {"metrics": metrics_frame(spark, rows), "coefficients": C.union_all(coefs),
               "stepwise_trace": C.union_all(traces),
+              "roc_comparison": C.union_all(rocs).where("split = 'test'"),
+              **preparation_reports(df, s, cfg, frames),
               "selections": spark.createDataFrame(
                   chosen_rows, "task string, selection string, position int, feature string")}
     if out:
@@ -165,7 +202,7 @@ def linear_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
 
 def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
                 var_model: str | None = None, out: str | None = None,
-                net_mode: str = "average") -> dict[str, DataFrame]:
+                net_mode: str = "average", cv: bool = True) -> dict[str, DataFrame]:
     """Entry C: LR / DT / RF / GB and the network grid for one variable set
     (all features, or those a tree / forest / boosting model finds above the
     deep-learning threshold), compared by test ROC and test RMSE."""
@@ -187,12 +224,10 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
             data = frames[task]
             model = M.fit(data.where("split = 'train'"), use[task], _label(s, task), kind, task, cfg)
             short = M.SHORT[kind]
-            r, roc = assess(model, data, cfg, run="classic", label_name=short)
+            r, roc = assess(model, data, cfg, run="classic", label_name=short, cv=cv)
             rows += r
             if roc is not None:
-                aucs = metrics_frame(spark, [x for x in r if x[4] == "auc"]).select(
-                    "split", F.col("value").alias("auc"))
-                rocs.append(C.label_roc(roc, aucs, short))
+                rocs.append(_labelled(roc, r, short))
     net_rows, net_rocs = [], []
     for act in cfg.activations:
         for hl in cfg.hidden_layers:
@@ -224,13 +259,15 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
                                           float(r["error_ratio"]))]
     metrics = metrics_frame(spark, rows + net_rows)
     test_rocs = C.union_all(rocs).where("split = 'test'")
-    net_test = C.union_all(net_rocs).where("split = 'test'") if net_rocs else None
+    net_test = reliable_checkpoint(C.union_all(net_rocs).where("split = 'test'")) if net_rocs else None
     best_net = C.keep_max(net_test, "auc") if net_test is not None else None
     roc_comparison = C.union_missing([test_rocs] + ([best_net] if best_net is not None else []))
     rmse = (metrics.where("metric = 'rmse' AND split = 'test'")
             .select("model", "split", F.col("value").alias("rmse")))
     tables = {"metrics": metrics, "roc_comparison": roc_comparison,
-              "rmse_comparison": C.rank_rmse(rmse)}
+              "rmse_comparison": C.rank_rmse(rmse), **preparation_reports(df, s, cfg, frames)}
+    if net_test is not None:
+        tables["network_roc_comparison"] = net_test
     if out:
         write_reports(tables, out)
         write_csv(tables["rmse_comparison"], out, settings_name(

@@ -6,8 +6,6 @@ invariants are asserted in ``tests/``. One-feature OLS has an exact oracle.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -22,33 +20,31 @@ from .registry import RS, register, rf, rounded
 CFG = RunConfig()
 
 
-_FRAMES: dict = {}
 
+def model_frames(spark, sf_dir, tasks=(M.CLASSIFIER, M.REGRESSOR)):
+    """Features and the prepared rows of each task with ``split`` and, on train
+    rows, ``fold``, from the given tables. Every query builds and writes its own
+    (``jobs.task_frames``); its fits, CV folds and metrics then scan that table
+    instead of replaying the joins, the median aggregate and the fold ranking."""
+    prep, frames = task_frames(rf(spark, sf_dir), RS, CFG, tasks)
+    return prep.feature_cols, frames
 
-def model_frame(spark, sf_dir, task: str, fit_on_train: bool = False, fresh: bool = False):
-    """Prepared rows of one task with ``split`` and, on train rows, ``fold``.
 
-    Both tasks' frames are written once to the shared checkpoint folder
-    (``jobs.task_frames``) and reused by every model query of the session:
-    each fit, CV fold and metric scans that table instead of replaying the
-    joins, the median aggregate and the fold ranking, and a lost executor
-    re-reads it. The ``model_frames`` query builds them afresh.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), fit_on_train)
-    if fresh or key not in _FRAMES:
-        prep, frames = task_frames(rf(spark, sf_dir), RS, CFG.with_(fit_on_train=fit_on_train))
-        _FRAMES[key] = (prep.feature_cols, frames)
-    feats, frames = _FRAMES[key]
+def model_frame(spark, sf_dir, task: str):
+    feats, frames = model_frames(spark, sf_dir, (task,))
     return feats, frames[task]
 
 
-@register("model_frames")
+@register("model_frames", with_rf(
+    "SELECT task, split, count(*) AS rows FROM (SELECT 'classifier' AS task, split FROM s UNION ALL "
+    "SELECT 'regressor' AS task, split FROM s WHERE target_amt IS NOT NULL) GROUP BY task, split",
+    f"s AS (SELECT *, CASE WHEN substr(md5('{CFG.seed}' || k), 1, 4) < '{SP.hash_threshold(CFG.test_fraction)}' "
+    "THEN 'test' ELSE 'train' END AS split FROM rf)"))
 def q_model_frames(spark, sf_dir):
     """PRE6-PRE8 + TUN4 end to end: both tasks' prepared frames built and
     written; rows per task and split."""
-    from pyspark.sql import functions as F
-    _, cls = model_frame(spark, sf_dir, M.CLASSIFIER, fresh=True)
-    _, reg = model_frame(spark, sf_dir, M.REGRESSOR)
+    _, frames = model_frames(spark, sf_dir)
+    cls, reg = frames[M.CLASSIFIER], frames[M.REGRESSOR]
     return (cls.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).withColumn("task", F.lit(M.CLASSIFIER))
             .unionByName(reg.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
                          .withColumn("task", F.lit(M.REGRESSOR))))
@@ -119,8 +115,9 @@ def q_importance_table(spark, sf_dir):
 def q_coefficients(spark, sf_dir):
     """EVA7: logistic and linear coefficients with intercept and variable count."""
     out = None
+    feats, frames = model_frames(spark, sf_dir)
     for task, kind in ((M.CLASSIFIER, "logistic"), (M.REGRESSOR, "linear")):
-        feats, data = model_frame(spark, sf_dir, task)
+        data = frames[task]
         model = M.fit(data.where("split = 'train'"), feats, label_of(task), kind, task, CFG)
         c = M.coefficients(model)
         out = c if out is None else out.unionByName(c)
@@ -162,7 +159,7 @@ def q_grid_search(spark, sf_dir):
     train = data.where("split = 'train'")
     best, table = grid_search(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG)
     model = M.fit(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG, **best)
-    rows, _ = assess(model, data, CFG, run="grid")
+    rows, _ = assess(model, data, CFG, run="grid", cv=True, overrides=best)
     grid_rows = [("grid", "tree_classifier", "classifier", "train_cv",
                   "accuracy[" + ",".join(f"{k}={v}" for k, v in sorted(r.items()) if k != "score") + "]",
                   r["score"]) for r in table]

@@ -43,36 +43,10 @@ FROM (
                         JOIN {part} p ON l_partkey = p_partkey) a) b) t
 """
 
-RISK_FRAME_SCHEMA = T.StructType([
-    T.StructField("k", T.StringType()),
-    T.StructField("target_flag", T.IntegerType()),
-    T.StructField("target_amt", T.DoubleType()),
-    T.StructField("loan", T.DoubleType()),
-    T.StructField("quantity", T.DoubleType()),
-    T.StructField("acctbal", T.DoubleType()),
-    T.StructField("retailprice", T.DoubleType()),
-    T.StructField("psize", T.DoubleType()),
-    T.StructField("discount", T.DoubleType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("job", T.StringType()),
-])
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has
-    cores (a small file stored as one row group), so the per-row work after
-    it runs on every core. A large input already has at least that many
-    splits and is left as it is: no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def risk_frame_sql_duckdb() -> str:
     """The risk_frame text with plain view names (for DuckDB oracles)."""
     return RISK_FRAME_SQL.format(lineitem="lineitem", orders="orders",
@@ -87,9 +61,9 @@ def risk_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``; beyond it the joins shuffle on
     their keys. Only the eleven needed source columns reach the scans.
     """
-    li = spread_small_scan(read_table(spark, sf_dir, "lineitem").select(
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_linestatus"))
+        "l_extendedprice", "l_discount", "l_linestatus")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
@@ -98,7 +72,13 @@ def risk_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- loan CSV
 
+# The texts that pandas reads as missing by default.
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def hmeq_schema() -> T.StructType:
+    # The input file's columns in its order.
     s = RiskSchema.hmeq()
     fields = []
     for c in ("TARGET_BAD_FLAG", "TARGET_LOSS_AMT", "LOAN", "MORTDUE", "VALUE", "REASON",
@@ -113,32 +93,47 @@ def hmeq_schema() -> T.StructType:
     return T.StructType(fields)
 
 
+def _parsed(field: T.StructField):
+    """A CSV text as the field's type: missing tokens become null, a text that is
+    no number (or no whole number, for whole-number fields) fails the read."""
+    raw = F.col(f"`{field.name}`")
+    text = F.when(raw.isin(*NA_TOKENS), None).otherwise(raw)
+    if isinstance(field.dataType, T.StringType):
+        return text.alias(field.name)
+    number = F.expr(f"try_cast(trim(`{field.name}`) AS DOUBLE)")
+    whole = isinstance(field.dataType, (T.IntegerType, T.LongType))
+    bad = number.isNull() | (number != F.floor(number) if whole else F.lit(False))
+    return (F.when(text.isNull(), None)
+            .when(bad, F.raise_error(F.concat(F.lit(f"malformed number in {field.name}: "), raw)))
+            .otherwise(number).cast(field.dataType).alias(field.name))
+
+
 def read_loans_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    key: str = "k", chunk: int = 1_000_000) -> DataFrame:
-    """SRC1: header CSV with an explicit schema; blanks and NaN become SQL null.
+    """SRC1: header CSV with an explicit schema, read as pandas reads it: its
+    missing-value tokens become null in every column, whole numbers may be
+    written as 1100.0, and a malformed number fails the read.
 
     The file has no key, so one is derived from the content: a hash of all
     columns plus a duplicate number. Exact duplicates are first collapsed by
-    an aggregate (combined map-side), and each group's numbers are emitted in
-    chunks spread over tasks, so a hot duplicate never lands in one task.
+    an aggregate (combined map-side); only groups with duplicates are shuffled
+    again, their numbers emitted in chunks spread over tasks, so a hot duplicate
+    never lands in one task.
     """
     schema = schema or hmeq_schema()
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("nanValue", "NaN").csv(path))
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    df = (spark.read.schema(texts).option("header", True).option("mode", "FAILFAST").csv(path)
+          .select([_parsed(f) for f in schema.fields]))
     cols = [f.name for f in schema.fields]
-    df = df.select([
-        F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else
-        F.when(F.col(f.name) != "", F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType) else F.col(f.name)
-        for f in schema.fields])
     h = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
                                          for c in cols]), 256)
     grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", h)
-    chunks = grouped.withColumn(
+    single = grouped.where("_n = 1").withColumn("_d", F.lit(1))
+    chunks = grouped.where("_n > 1").withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk).cast("int"))))
     spread = chunks.repartition("_h", "_j")
-    out = spread.withColumn(
+    many = spread.withColumn(
         "_d", F.explode(F.sequence(F.col("_j") * chunk + 1,
-                                   F.least(F.col("_n"), (F.col("_j") + 1) * chunk).cast("int"))))
+                                   F.least(F.col("_n"), (F.col("_j") + 1) * chunk).cast("int")))).drop("_j")
+    out = single.unionByName(many)
     return out.select(F.concat_ws("-", F.col("_h"), F.col("_d").cast("string")).alias(key), *cols)

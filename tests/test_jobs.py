@@ -21,7 +21,12 @@ def test_profile_job_writes_tables(spark):
 
 
 def test_fit_job(spark):
-    t = jobs.fit_job(risk_frame(spark, SF001), S, SMALL, kinds=("tree",), cv=False)
+    out = tempfile.mkdtemp()
+    t = jobs.fit_job(risk_frame(spark, SF001), S, SMALL, kinds=("tree",), cv=False, out=out)
+    assert {"prepare_null_counts_before", "prepare_group_medians", "prepare_null_counts_after",
+            "prepare_amount_before_cap", "prepare_amount_after_cap", "prepare_first_rows_before",
+            "prepare_first_rows_after", "split_classifier", "split_regressor", "roc_comparison"} <= set(os.listdir(out))
+    assert {r["label"].split(":")[0] for r in t["roc_comparison"].collect()} == {"AUC Test"}
     m = {(r["model"], r["split"], r["metric"]) for r in t["metrics"].collect()}
     assert ("tree_classifier", "test", "auc") in m and ("tree_regressor", "test", "rmse") in m
     assert t["tree_nodes"].count() > 1
@@ -36,6 +41,9 @@ def test_compare_job_writes_csv(spark):
     assert {"LR", "DT", "RF", "GB"} <= models and any(m.startswith("TF-") for m in models)
     labels = {r["model_auc"].split(" AUC")[0] for r in t["roc_comparison"].collect()}
     assert {"LR", "DT", "RF", "GB"} <= labels
+    cv = {r["model"] for r in t["metrics"].where("split = 'train_cv'").collect()}
+    assert cv == {"LR", "DT", "RF", "GB"}
+    assert t["network_roc_comparison"].count() > 0
 
 
 def test_linear_job(spark):
@@ -49,5 +57,33 @@ def test_fit_job_grid_and_compare_with_selection(spark):
     df = risk_frame(spark, SF001)
     t = jobs.fit_job(df, S, SMALL, kinds=("tree",), grid=True, cv=False)
     assert {r["run"] for r in t["metrics"].collect()} == {"grid"}
-    c = jobs.compare_job(df, S, SMALL, var_model="tree")
+    c = jobs.compare_job(df, S, SMALL, var_model="tree", cv=False)
     assert c["rmse_comparison"].count() > 0 and c["roc_comparison"].count() > 0
+
+
+def test_cross_validation_uses_the_tuned_parameters(spark):
+    from loanlens.operators import models as M
+    from loanlens.operators.assess import assess
+    prep, frames = jobs.task_frames(risk_frame(spark, SF001), S, SMALL, (M.CLASSIFIER,))
+    data = frames[M.CLASSIFIER]
+    train = data.where("split = 'train'")
+
+    def cv(**params):
+        model = M.fit(train, prep.feature_cols, "target_flag", "tree", M.CLASSIFIER, SMALL, **params)
+        rows, _ = assess(model, data, SMALL, cv=True, overrides=params)
+        return next(r[5] for r in rows if r[3] == "train_cv")
+
+    assert cv(maxDepth=1) != cv() and cv(maxDepth=SMALL.max_depth) == cv()
+
+
+def test_split_modes_and_pruned_scans(spark):
+    from loanlens.operators import models as M
+    df = risk_frame(spark, SF001)
+    _, exact = jobs.task_frames(df, S, SMALL.with_(split_mode="exact"))
+    for data in exact.values():
+        n = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
+        assert n["test"] == -(-sum(n.values()) // 5)
+    _, other = jobs.task_frames(df, S, SMALL.with_(split_mode="separate"), (M.REGRESSOR,))
+    assert {r["split"] for r in other[M.REGRESSOR].select("split").distinct().collect()} == {"train", "test"}
+    plan = exact[M.CLASSIFIER].where("split = 'train'").select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "ReadSchema: struct<k:string>" in plan

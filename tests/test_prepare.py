@@ -36,7 +36,7 @@ def rows(spark):
 def test_literal_rows_with_given_medians(spark, rows):
     med = spark.createDataFrame(MEDIANS, "REASON string, JOB string, " + ", ".join(
         f"{c} double" for c in IMPUTED))
-    imp = PR.Imputer(S, IMPUTED, med, 3)
+    imp = PR.Imputer(S, IMPUTED, med)
     out = {r["k"]: r for r in imp.transform(rows).collect()}
     r3 = out["3"]
     assert r3["REASON"] == "Unknown" and r3["JOB"] == "Unknown"

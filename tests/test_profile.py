@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.config import RiskSchema
-from loanlens.functions.stats import pearson
+from loanlens.functions.stats import kurtosis_unbiased, pearson, skewness_unbiased
 from loanlens.operators import profile as P
 
 ROWS = [("a", 1.0, 5.0), ("a", 2.0, 5.0), ("a", None, 5.0), ("a", 4.0, 5.0),
@@ -111,13 +111,13 @@ def test_corr_with_flag_removes_self_and_undefined(spark):
     assert cols == ["a"]
 
 
-def test_auto_method_uses_scanned_bytes(spark, monkeypatch):
-    from conftest import SF001
-    from loanlens.operators import quantiles as Q
-    from loanlens.sources.frames import risk_frame
-    df = risk_frame(spark, SF001)
-    size = Q.scanned_bytes(df)
-    assert 0 < size < 50 << 20          # the four parquet files, not a join product
-    assert Q.resolve_method(df, "auto") == "exact"
-    monkeypatch.setattr(Q, "DISTRIBUTED_ABOVE_BYTES", size - 1)
-    assert Q.resolve_method(df, "auto") == "distributed"
+def test_moments_of_more_rows_than_a_long_product_holds(spark):
+    """n (n - 1) and positives x negatives of 4e9 rows exceed 63 bits."""
+    counts = spark.createDataFrame([(0.2, 0, 4_000_000_000), (0.8, 4_000_000_000, 0)], "score double, p long, n long")
+    from loanlens.operators import evaluate as EV
+    assert EV.auc(None, "y", "score", counts=counts).first()["auc"] == 1.0
+    n = F.lit(4_000_000_000).cast("double")
+    skew = spark.range(1).select(F.sqrt(n * (n - 1)) / (n - 2), (n - 1) / ((n - 2) * (n - 3))).first()
+    assert skew[0] == pytest.approx(1.0) and skew[1] == pytest.approx(2.5e-10)
+    plan = spark.range(5).agg(skewness_unbiased("id"), kurtosis_unbiased("id"))._jdf.queryExecution().analyzed().toString()
+    assert "as double" in plan

@@ -41,3 +41,22 @@ def test_sinks_round_trip(spark):
     assert sorted(map(tuple, back.collect())) == [("a", 1.5), ("b", 2.5)]
     paths = write_reports({"metrics": df}, d)
     assert spark.read.parquet(paths["metrics"]).count() == 2
+
+
+def test_csv_reads_numbers_and_missing_tokens_as_pandas(spark, tmp_path):
+    import pandas as pd
+    import pytest
+    lines = ["1,641,1100.0,25860,39025,NaN,NA,10.5,0,0,94.366667,1,9,n/a",
+             "0,null,1300, 70053,<NA>,HomeImp,None,7,0,2,-1e3,0,14,NULL"]
+    p = tmp_path / "loans.csv"
+    p.write_text(HEADER + "\n" + "\n".join(lines) + "\n")
+    rows = sorted(read_loans_csv(spark, str(p)).drop("k").collect(), key=lambda r: r["LOAN"])
+    want = pd.read_csv(p)
+    for r, (_, w) in zip(rows, want.iterrows()):
+        for c in want.columns:
+            assert (r[c] is None and pd.isna(w[c])) or r[c] == w[c], c
+    assert rows[0]["LOAN"] == 1100
+    for bad in ("1,641,11x0,1,1,a,b,1,1,1,1,1,1,1", "1,641,1100.5,1,1,a,b,1,1,1,1,1,1,1"):
+        p.write_text(HEADER + "\n" + bad + "\n")
+        with pytest.raises(Exception, match="malformed number in LOAN"):
+            read_loans_csv(spark, str(p)).collect()

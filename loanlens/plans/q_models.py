@@ -95,6 +95,58 @@ def q_ols(spark, sf_dir):
                       F.lit(est.summary.numInstances).cast("long").alias("n"))
 
 
+def _stump_sql(label: str, where: str) -> str:
+    """Depth-1 tree on one low-cardinality feature: the split between two
+    neighbouring values with the largest variance gain, its nodes and their means."""
+    return with_rf(
+        f"SELECT 0 AS id, thr AS threshold, nt AS samples, {r4('st / nt')} AS value FROM best UNION ALL "
+        f"SELECT 1, NULL, nl, {r4('sl / nl')} FROM best UNION ALL "
+        f"SELECT 2, NULL, nt - nl, {r4('(st - sl) / (nt - nl)')} FROM best",
+        f"d AS (SELECT discount AS x, count(*) AS n, sum(CAST({label} AS DOUBLE)) AS s FROM rf WHERE {where} GROUP BY discount)",
+        "c AS (SELECT x, lead(x) OVER w AS nx, sum(n) OVER w AS nl, sum(s) OVER w AS sl, "
+        "sum(n) OVER () AS nt, sum(s) OVER () AS st FROM d WINDOW w AS (ORDER BY x))",
+        f"best AS (SELECT {r4('(x + nx) / 2')} AS thr, CAST(nl AS BIGINT) AS nl, sl, CAST(nt AS BIGINT) AS nt, st FROM c "
+        "WHERE nx IS NOT NULL ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1)")
+
+
+def _stump(spark, sf_dir, task):
+    df = rf(spark, sf_dir)
+    df = df if task == M.CLASSIFIER else SP.loss_population(df, "target_amt")
+    model = M.fit(df.select("discount", label_of(task)), ["discount"], label_of(task), "tree", task,
+                  CFG.with_(max_depth=1))
+    return rounded(M.tree_nodes(model).select(
+        "id", "threshold", F.col("samples").cast("long").alias("samples"), "value"))
+
+
+@register("tree_stump_classifier", _stump_sql("target_flag", "TRUE"))
+def q_tree_stump_classifier(spark, sf_dir):
+    """MOD1 + EVA8 at depth 1 on one feature: the best split is SQL-expressible."""
+    return _stump(spark, sf_dir, M.CLASSIFIER)
+
+
+@register("tree_stump_regressor", _stump_sql("target_amt", "target_amt IS NOT NULL"))
+def q_tree_stump_regressor(spark, sf_dir):
+    """MOD2 + EVA8 at depth 1 on one feature."""
+    return _stump(spark, sf_dir, M.REGRESSOR)
+
+
+@register("cv_rmse_one_feature", with_rf(
+    f"SELECT {r4('avg(r)')} AS cv_rmse FROM (SELECT f.fold, sqrt(avg(power(t.target_amt - (a + b * t.loan), 2))) AS r "
+    "FROM f JOIN t ON t.fold = f.fold GROUP BY f.fold)",
+    f"t AS (SELECT target_amt, loan, CAST(('0x' || substr(md5('fold{CFG.seed}' || k), 1, 8)) AS BIGINT) % {CFG.folds} AS fold "
+    f"FROM rf WHERE target_amt IS NOT NULL AND NOT substr(md5('{CFG.seed}' || k), 1, 4) < '{SP.hash_threshold(CFG.test_fraction)}')",
+    f"g AS (SELECT unnest(range({CFG.folds})) AS fold)",
+    "f AS (SELECT g.fold, regr_slope(target_amt, loan) AS b, regr_intercept(target_amt, loan) AS a "
+    "FROM g JOIN t ON t.fold <> g.fold GROUP BY g.fold)"))
+def q_cv_rmse_one_feature(spark, sf_dir):
+    """TUN3 with one feature: each fold's line comes from the other folds' regression sums."""
+    df = SP.split_hash(SP.loss_population(rf(spark, sf_dir), "target_amt").select("k", "loan", "target_amt"),
+                       "k", CFG.seed, CFG.test_fraction)
+    train = SP.assign_folds(df.where("split = 'train'"), "k", CFG.folds, CFG.seed)
+    v = cross_validate(train, ["loan"], "target_amt", "linear", M.REGRESSOR, CFG, "rmse")
+    return rounded(spark.createDataFrame([(v,)], "cv_rmse double"))
+
+
 @register("score_batch")
 def q_score_batch(spark, sf_dir):
     """MOD12: every row scored by a fitted tree (key, split, score, class)."""

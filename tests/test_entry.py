@@ -36,7 +36,8 @@ def _same(a, b):
 @pytest.mark.parametrize("name", ["expected_loss", "describe_by_categories", "group_medians",
                                   "corr_with_flag_by_segment", "histogram20", "prepare_full",
                                   "split_exact", "fold_assign", "roc_points", "auc",
-                                  "best_by_max", "ols"])
+                                  "best_by_max", "ols", "model_frames", "tree_stump_classifier",
+                                  "tree_stump_regressor", "cv_rmse_one_feature"])
 def test_oracle_matches(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -166,10 +166,10 @@ class LogBilinear:
         return g1, g2, z
 
     def rows(self, weight: float):
-        """Weights as table rows: name, row, weight, values times weight."""
-        for name in ("r", "t", "b", "c1", "c2"):
-            for i, v in enumerate(np.atleast_2d(getattr(self, name))):
-                yield name, i, weight, (v * weight).tolist()
+        """Weights as table rows: name, row, weight, values times weight (a target's bias last)."""
+        for name in ("r", "t", "c1", "c2"):
+            for i, v in enumerate(getattr(self, name)):
+                yield name, i, weight, [*(v * weight).tolist(), self.b[i] * weight if name == "t" else 0.0]
 
 
 def _rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -208,28 +208,33 @@ def train(learn: DataFrame, shared, model: LogBilinear, rounds: int = ROUNDS) ->
 
         own = learn.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(rounds)) == r).select("text")
         parts = own.mapInArrow(run, "name string, row int, weight double, v array<double>")
-        b_width = len(model.b)
-        # vectors are summed by place on the cluster; the bias is one row, all others have DIM places
-        narrow = parts.where("name <> 'b'").groupBy("name", "row").agg(
-            F.sum("weight").alias("w"), *[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(model.r.shape[1])])
-        bias = (parts.where("name = 'b'").select("weight", F.posexplode("v").alias("row", "x"))
-                .groupBy("row").agg(F.sum("weight").alias("w"), F.sum("x").alias("v0"))
-                .select(F.lit("b").alias("name"), "row", "w", "v0"))
-        found = table(narrow.unionByName(bias, allowMissingColumns=True)).toArrow().to_pylist()
+        dim = model.r.shape[1]
+        # vectors are summed by place on the cluster
+        found = parts.groupBy("name", "row").agg(
+            F.sum("weight").alias("w"), *[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(dim + 1)])
         new = LogBilinear.__new__(LogBilinear)
         new.__dict__ = {k: v.copy() for k, v in model.__dict__.items()}
-        for x in found:
-            if x["name"] == "b":
-                new.b[x["row"]] = x["v0"] / x["w"]
-            else:
-                getattr(new, x["name"])[x["row"]] = [x[f"v{j}"] / x["w"] for j in range(model.r.shape[1])]
-        assert len(new.b) == b_width
+        for x in found.toArrow().to_pylist():
+            getattr(new, x["name"])[x["row"]] = [x[f"v{j}"] / x["w"] for j in range(dim)]
+            if x["name"] == "t":
+                new.b[x["row"]] = x[f"v{dim}"] / x["w"]
         model = new
     return model
 
 
 def fit_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    top = (counts.where((F.octet_length("word") <= WORD_BYTES)).orderBy(F.desc(F.col("word") == ""), F.desc("c"), "word").limit(head).toArrow())
+    short = counts.where(F.octet_length("word") <= WORD_BYTES)
+    # how many words occur at least 2, 4, 8, ... times tells below which count none is
+    # in the head, so that choosing it does not sort the whole vocabulary
+    octave = F.floor(F.log2("c"))
+    enough, least = 0, 1
+    for o in sorted(short.groupBy(octave.alias("o")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        enough += o["n"]
+        if enough >= head:
+            least = 1 << o["o"]
+            break
+    top = (short.where((F.col("c") >= least) | (F.col("word") == ""))
+           .orderBy(F.desc(F.col("word") == ""), F.desc("c"), "word").limit(head).toArrow())
     v = Vocabulary(top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy())
     model_words = v.model_words
 

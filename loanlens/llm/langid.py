@@ -36,11 +36,18 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """lang and text of at most ``per_lang`` learning documents of each language."""
+    """lang and text of at most ``per_lang`` learning documents of each language: those
+    with the smallest hashes. A language's count sets a hash limit that leaves about
+    four times as many, so that the exact choice never sorts a whole language."""
     own = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
-           .select("lang", "doc_id", F.xxhash64("text").alias("h")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.coalesce("doc_id", F.lit(0))), "doc_id", "h")
-    chosen = (own.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang)
+           .select("lang", "doc_id", F.xxhash64("text").alias("h"),
+                   F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text").alias("draw")))
+    size = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.lit(4.0 * per_lang) / F.col("rows")
+    near = own.join(size, "lang").where(
+        (share >= 1) | (F.shiftrightunsigned("draw", 1).cast("double") < share * F.lit(2.0 ** 63)))
+    w = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 1), "doc_id", "h")
+    chosen = (near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang)
               .select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("h").alias("k")).distinct())
     rows = docs.select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
     return rows.join(chosen, (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))

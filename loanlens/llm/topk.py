@@ -46,9 +46,10 @@ def integer_vectors(rows: DataFrame, vec: str = "embedding", key: str = "vec_id"
     return out.withColumn("shell", F.when(F.col("length") > 0, shell).otherwise(NO_LENGTH))
 
 
-def rotation(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Right singular vectors per dimension, from at most ``sample`` vectors in all."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x", "dim").toArrow()
+def rotation(vectors: DataFrame, count: int, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Right singular vectors per dimension, from at most ``sample`` of ``count`` vectors."""
+    every = max(1, count // (2 * sample))       # first by hash, so that the exact choice sorts few
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x", "dim").toArrow()
     out, dims = {}, rows.column("dim").to_numpy()
     xs = rows.column("x").to_pylist()
     for d in np.unique(dims):
@@ -143,10 +144,10 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, vec: str = "embedding
     """query_id, rank, vec_id, score of the k highest integer inner products of every
     row whose id is divisible by ``every`` with all other rows."""
     vectors = table(integer_vectors(rows, vec, key))
-    bases = rotation(vectors)
     # a shell is a sixteenth of an octave: a few ten thousand at most, whatever the table's size
     shells = vectors.groupBy("dim", "shell").agg(F.count("*").alias("n"), F.max("length").alias("top"))
     shells = sorted(shells.collect(), key=lambda s: (s.dim, -s.shell))
+    bases = rotation(vectors, sum(s.n for s in shells))
     seeds, seen, sizes = [], {}, []
     for s in shells:
         blocks = max(1, -(-s.n // BLOCK))

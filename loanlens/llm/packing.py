@@ -10,8 +10,8 @@ exchanged (dealt anew into fewer groups) and packed again, round after round, un
 one group is left, all given back is optimal, or a round saves nothing.
 
 Tokens: ids of a word are cached per Python worker, since the tokenizer splits at
-white space and never looks across it; misses are encoded together and cut apart by
-offsets. The cache is cleared when full, which bounds memory and changes nothing.
+white space and never looks across it. The cache is cleared when full, which bounds
+memory and changes nothing.
 
 Defined results: null and empty texts are one end id; repeated rows are packed
 like any other rows; an empty table gives no rows.
@@ -19,7 +19,10 @@ like any other rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -32,61 +35,69 @@ from .common import read_table, table, text_of
 CAPACITY, END = 4096, 1
 ITEMS, ROUNDS = 50_000, 8
 CACHE = 300_000
+# The tokenizer's own cut of a word, for ASCII.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 PIECE = "doc_id long, piece int, start long, length int, ids binary"
 PLACED = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int, open boolean, gap int"
 
 
-class WordIds:
-    """Little-endian uint32 ids of texts, by words."""
+class WordIds(dict):
+    """Word (bytes) -> its ids as little-endian uint32, found when first asked for.
+
+    The tokenizer normalises, lower-cases and cuts a word into letters, digits
+    and other signs, each tokenised alone. Words of ASCII signs or of letters are cut
+    here and only their parts go to the model; any other word, and any that could hold
+    a special token's text, goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _core(self, word: bytes) -> bytes:
-        """Case does not matter, unless the word could hold a special token's text."""
-        return word if b"<|" in word else word.lower()
-
-    def _learn(self, cores: list[bytes]) -> None:
-        for lo in range(0, len(cores), 20_000):
-            part = cores[lo:lo + 20_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
-            cut = np.searchsorted(at, starts) * 4
-            raw = ids.tobytes()
-            for k, w in enumerate(part):
-                self.known[w] = raw[cut[k]:cut[k + 1]]
+        self.part = self.tokenizer.model.tokenize
+        # the model reads bytes as printable characters
+        seen = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ascii_ = {b: seen.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        high = {}
+        for cp in range(0x80, 0x800):
+            for byte, char in zip(chr(cp).encode(), seen.pre_tokenize_str(chr(cp))[0][0]):
+                high[byte] = char
+        self.printable = ascii_ | high
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        """Ids of one run of letters, digit or run of signs, lower case."""
+        ids = self.parts.get(text)
+        if ids is None:
+            raw = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.printable)
+            ids = self.parts[text] = array("I", [t.id for t in self.part(raw)]).tobytes()
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids, text = None, word.decode("utf-8", "replace")
+        if b"<|" in word or "\0" in text:
+            pass
+        elif word.isascii():
+            ids = b"".join(map(self._part, ASCII_PARTS.findall(text.lower())))
+        else:
+            stem, tail = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            low = stem.lower()
+            # Python lower-cases a final sigma by its place, the tokenizer does not
+            if low.isalpha() and stem.isalpha() and "\u03a3" not in stem and is_normalized("NFC", low) \
+                    and max(stem) < "\u0800":
+                ids = self._part(low) + (self._part(tail) if tail else b"")
+        if ids is None:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out, known = [], self.known
-        split = [t.split() for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        new = set()
-        for words in split:
-            new.update(words)
-        new -= known.keys()
-        if new:
-            cores: dict[bytes, tuple[bytes, bytes]] = {}
-            for w in new:
-                c = self._core(w)
-                # a full stop or comma behind a letter or digit is a token of its own
-                if len(c) > 1 and c[-1:] in (b".", b",") and c[-2:-1].isalnum():
-                    cores[w] = (c[:-1], c[-1:])
-                else:
-                    cores[w] = (c, b"")
-            need = {c for pair in cores.values() for c in pair if c} - known.keys()
-            self._learn(list(need))
-            known[b""] = b""
-            for w, (c, tail) in cores.items():
-                known[w] = known[c] + known[tail]
-        get = known.__getitem__
-        for words in split:
-            out.append(b"".join(map(get, words)))
+        out = []
+        for t in texts:
+            if len(self) > CACHE:
+                self.clear()
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            out.append(b"".join(map(self.__getitem__, t.split())))
         return out
 
 

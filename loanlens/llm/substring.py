@@ -4,14 +4,16 @@ Texts are cut into units (sentences within lines by default; lines or
 paragraphs on request). A unit is normalised (lower case, words only) and hashed to 128
 bits. Over all documents the digests are grouped and the earliest occurrence in
 rank (smallest doc_id, then position) keeps its place; every other occurrence is a
-repeat. Runs of repeats that stand next to each other in a document and together
+repeat. Repeats within a document are seen where it is cut into units; the digests
+then only need the smallest doc_id that holds them. Runs of repeats that stand next to each other in a document and together
 hold ``MIN_WORDS`` words or more are removed. Offsets are those of the original
 text (code points, end exclusive), each with the smallest document that keeps a
 unit of the run.
 
 Short repeated units alone ("Of.") stay, as do single short boilerplate lines.
-Defined results: null and empty texts have no units and stay as they are; rows
-equal in doc_id and text are one document and are cut alike; null ids rank last.
+Defined results: null and empty texts have no units and stay as they are; rows that
+share a doc_id are one document, so units that only they hold are no repeats of each
+other; rows without id are one document that ranks last.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import fresh, read_table, text_of
 
 MIN_WORDS = 25
+#: Rank of documents without id: behind all others.
+NO_ID = (1 << 63) - 1
 SEPARATOR = {
     "sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+"),
     "line": re.compile(r"\n+"),
@@ -50,42 +54,51 @@ def unit_table(docs: DataFrame, unit: str = "sentence") -> DataFrame:
         for b in batches:
             texts = b.column(2).to_pylist()
             for lo in range(0, len(texts), 500):        # bounds the rows built at once
-                row, idx, start, end, words, digest = [], [], [], [], [], []
+                row, idx, start, end, words, digest, again = [], [], [], [], [], [], []
                 for i, text in enumerate(texts[lo:lo + 500], lo):
+                    seen: set[bytes] = set()
                     for k, (s, e, n, norm) in enumerate(units_of(text, unit)):
                         row.append(i)
                         idx.append(k)
                         start.append(s)
                         end.append(e)
                         words.append(n)
-                        digest.append(xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass")))
+                        d = xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
+                        digest.append(d)
+                        again.append(d in seen)
+                        seen.add(d)
                 h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 take = pa.array(row, pa.int64())
                 yield pa.record_batch([
                     b.column(0).take(take), b.column(1).take(take), pa.array(idx, pa.int32()),
                     pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()),
-                    pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                    ["doc_id", "text_hash", "idx", "start", "end", "words", "h1", "h2"])
+                    pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.bool_())],
+                    ["doc_id", "text_hash", "idx", "start", "end", "words", "h1", "h2", "again"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, idx int, start int, end int, words int, h1 long, h2 long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, idx int, start int, end int, words int, "
+                                "h1 long, h2 long, again boolean")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, spans: sorted array of (start, end, words, source) to remove, for documents with any."""
     units = unit_table(docs, unit)
-    place = F.struct(F.isnull("doc_id").alias("z"), "doc_id", "text_hash", "idx")
-    first = (units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where("first <> last").drop("last"))
-    again = (units.join(first, ["h1", "h2"]).where(place != F.col("first"))
-             .select("doc_id", "text_hash", "idx", "start", "end", "words", F.col("first.doc_id").alias("source"))
+    rank = F.coalesce("doc_id", F.lit(NO_ID))
+    # minima of longs: a hash aggregate, combined before the shuffle
+    shared = (units.where(~F.col("again")).select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2")
+              .agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+              .where("first < last").drop("last"))
+    again = (units.join(shared, ["h1", "h2"], "left")
+             .where(F.col("again") | (rank > F.col("first")))
+             .select("doc_id", "text_hash", "idx", "start", "end", "words",
+                     F.coalesce("first", rank).alias("source"))
              .groupBy("doc_id", "text_hash", "idx", "start", "end", "words").agg(F.min("source").alias("source")))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
     runs = (again.withColumn("run", F.col("idx") - F.row_number().over(order))
             .groupBy("doc_id", "text_hash", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.sum("words").alias("words"), F.min("source").alias("source"))
+                 F.sum("words").alias("words"), F.nullif(F.min("source"), F.lit(NO_ID)).alias("source"))
             .where(F.col("words") >= min_words))
     return runs.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "words", "source"))).alias("spans"))

@@ -175,24 +175,24 @@ def test_near_dedup(spark):
 
 # ---------------------------------------------------------------- substring
 def brute_repeats(rows, min_words=substring.MIN_WORDS):
-    """Removed spans per (id, text), rows equal in both being one document."""
+    """Removed spans per (id, text), rows that share an id being one document."""
     first, out = {}, {}
-    seen = sorted({(t[0] is None, t[0] if t[0] is not None else 0, signed(xxhash.xxh64_intdigest((t[1] or "").encode(), 42))
-                    if t[1] is not None else 42, t[1] or "") for t in rows})
-    for none, i, h, text in seen:
-        for k, (s, e, n, norm) in enumerate(substring.units_of(text)):
-            first.setdefault(norm, (none, i, h, k))
-    for none, i, h, text in seen:
-        runs, last = [], None
-        for k, (s, e, n, norm) in enumerate(substring.units_of(text)):
-            if first[norm] != (none, i, h, k):
-                if last == k - 1:
+    rank = lambda i: math.inf if i is None else i
+    for t in rows:
+        for *_, norm in substring.units_of(t[1] or ""):
+            first[norm] = min(first.get(norm, math.inf), rank(t[0]))
+    for t in rows:
+        runs, last, seen = [], None, set()
+        for k, (s, e, n, norm) in enumerate(substring.units_of(t[1] or "")):
+            if rank(t[0]) > first[norm] or norm in seen:
+                if last == k - 1 and runs:
                     runs[-1][1] = e
                     runs[-1][2] += n
                 else:
                     runs.append([s, e, n])
                 last = k
-        out[(None if none else i, text)] = [(s, e) for s, e, n in runs if n >= min_words]
+            seen.add(norm)
+        out[(t[0], t[1] or "")] = [(s, e) for s, e, n in runs if n >= min_words]
     return out
 
 

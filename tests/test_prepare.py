@@ -96,3 +96,11 @@ def test_median_join_is_broadcast(rows):
     out = imp.transform(rows)
     out.collect()
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_as_a_table(spark):
+    """The wide-category encoder gives every level its place in string order."""
+    df = spark.createDataFrame([(i, None if i % 50 == 7 else f"lv{i % 50:02d}") for i in range(500)], "k int, c string")
+    out = PR.encode_levels(df, "c", "place").collect()
+    levels = sorted({r["c"] or "Unknown" for r in out})
+    assert len(out) == 500 and all(r["place"] == levels.index(r["c"] or "Unknown") for r in out)

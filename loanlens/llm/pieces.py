@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import fresh, read_table, text_of
 
 MARK = "▁"
-CACHE, CHARS, SLICE = 300_000, 300_000, 400
+CACHE, CHARS, SLICE = 200_000, 100_000, 400
 #: Pairs of pieces whose border was judged: slots of a direct-mapped table.
 SLOTS = 1 << 21
 NEVER = np.int64(1) << 40

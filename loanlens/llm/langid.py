@@ -50,7 +50,8 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     chosen = (near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_lang)
               .select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), F.col("h").alias("k")).distinct())
     rows = docs.select("lang", "doc_id", "text", F.xxhash64("text").alias("h"))
-    return rows.join(chosen, (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    # at most ``per_lang`` narrow rows of each language: bounded, so that no text is shuffled
+    return rows.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
                      & (F.col("h") == F.col("k"))).select("lang", "text")
 
 

@@ -1,14 +1,23 @@
-"""Operator 3: repeated passages by line or paragraph hashing.
+"""Operator 3: repeated passages by line or paragraph hashing and word windows.
 
 Texts are cut into units (sentences within lines by default; lines or
 paragraphs on request). A unit is normalised (lower case, words only) and hashed to 128
 bits. Over all documents the digests are grouped and the earliest occurrence in
 rank (smallest doc_id, then position) keeps its place; every other occurrence is a
 repeat. Repeats within a document are seen where it is cut into units; the digests
-then only need the smallest doc_id that holds them. Runs of repeats that stand next to each other in a document and together
-hold ``MIN_WORDS`` words or more are removed. Offsets are those of the original
-text (code points, end exclusive), each with the smallest document that keeps a
-unit of the run.
+then only need the smallest doc_id that holds them.
+
+Passages that begin or end inside a unit are found by windows of ``WINDOW`` words:
+of every ``SPREAD`` windows that follow each other the one with the smallest hash is a
+unit too (winnowing), so equal words choose equal windows wherever they stand. A window
+is a repeat if an earlier document holds it. At each end of a passage fewer than
+``SPREAD`` words that belong to no whole unit can stay; repeats of MIN_WORDS + 2 *
+(SPREAD - 1) words are always found. Repeats within one document are found as whole
+units only.
+
+Stretches of words that repeated units cover without a gap and that hold ``MIN_WORDS``
+words or more are removed. Offsets are those of the original text (code points, end
+exclusive), each with the smallest document that keeps a unit of the stretch.
 
 Short repeated units alone ("Of.") stay, as do single short boilerplate lines.
 Defined results: null and empty texts have no units and stay as they are; rows that
@@ -18,17 +27,23 @@ other; rows without id are one document that ranks last.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, text_of
+from .common import fresh, read_table, table, text_of
 
 MIN_WORDS = 25
+#: Words of a window; one of every SPREAD windows in a row is chosen.
+WINDOW, SPREAD = 12, 8
+#: Bits of the filter of shared digests that workers hold: it only spares rows in the join.
+FILTER_BITS = 1 << 27
+#: Characters that are cut at once (a longer text is cut alone).
+CHARS = 2_000_000
 #: Rank of documents without id: behind all others.
 NO_ID = (1 << 63) - 1
 SEPARATOR = {
@@ -36,6 +51,8 @@ SEPARATOR = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n[ \t]*\n\s*"),
 }
+#: The sentence separators with the mark before them: begins with a set of characters, so that it is found fast.
+AFTER_MARK = re.compile(r"[.!?\n](?:(?<=\n)\n*|(?<=[.!?])[ \t]+)")
 WORD = re.compile(r"\w+")
 
 
@@ -49,56 +66,190 @@ def units_of(text: str, unit: str = "sentence"):
         at = end
 
 
-def unit_table(docs: DataFrame, unit: str = "sentence") -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash of values[start:end] for each pair; pairs are not empty, in order, and do not overlap."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    part = values[np.repeat(start, size) + at] * _powers(base, int(size.max()))[at]
+    return _mixed(np.add.reduceat(part, np.cumsum(size) - size) + size.astype(np.uint64))
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return _mixed(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))))
+
+
+@functools.cache
+def _is_word() -> np.ndarray:
+    return np.array([WORD.match(chr(c)) is not None for c in range(0x110000)])
+
+
+def words_in(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of the text in lower case, given in ``text``, and its hash."""
+    low = text.lower()
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.zeros(len(code) + 2, np.int8)
+    word[1:-1] = _is_word()[code]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    h = _sums(_mixed(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start, end, 0xD6E8FEB86659FD93)
+    if len(low) != len(text):           # a letter that grows in lower case
+        origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        start, end = origin[start], origin[end - 1] + 1
+    return start, end, h
+
+
+def windows(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each chosen window; ``owner`` has the text of each word, in order."""
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    two = _join(h[:-1], h[1:])
+    four = _join(two[:-2], two[2:])
+    w = _join(_join(four[:n], four[4:4 + n]), four[8:8 + n])
+    own = owner[:n] == owner[WINDOW - 1:]
+    chosen = np.zeros(n, bool)
+    m = n - SPREAD + 1
+    if m > 0:       # a window is chosen if it is the smallest of any SPREAD in a row of its text
+        low = np.lib.stride_tricks.sliding_window_view(w, SPREAD)
+        least = functools.reduce(np.minimum, (low[:, k] for k in range(SPREAD)))
+        whole = owner[:m] == owner[SPREAD + WINDOW - 2:]
+        for k in range(SPREAD):
+            chosen[k:k + m] |= whole & (w[k:k + m] == least)
+    # texts of fewer than SPREAD windows
+    at = np.flatnonzero(own)
+    first = np.flatnonzero(np.r_[True, owner[at][1:] != owner[at][:-1]]) if len(at) else at
+    for lo, hi in zip(first, [*first[1:], len(at)]):
+        if hi - lo < SPREAD:
+            chosen[at[lo] + w[at[lo]:at[lo] + hi - lo].argmin()] = True
+    at = np.flatnonzero(chosen)
+    return at, w[at]
+
+
+def _breaks(text: str, unit: str):
+    """Start and end of the separators."""
+    if unit != "sentence":
+        return [m.span() for m in SEPARATOR[unit].finditer(text)]
+    return [(m.start() + (text[m.start()] != "\n"), m.end()) for m in AFTER_MARK.finditer(text)]
+
+
+def cut(texts: list[str], unit: str = "sentence") -> list[np.ndarray]:
+    """Columns of the units and chosen windows of all texts: text, first word, word behind,
+    start, end, digest (two longs; the second is 0 for windows), 1 for repeats in a text."""
+    spans, units, hashes, owner, before = [], [], [], [], [0]
+    for i, text in enumerate(texts):
+        start, end, h = words_in(text)
+        cuts = np.array([(0, 0), *_breaks(text, unit), (len(text), len(text))], np.int64)
+        s, e = cuts[:-1, 1], cuts[1:, 0]
+        w0, w1 = np.searchsorted(start, s), np.searchsorted(start, e)
+        some = w1 > w0
+        units.append(np.stack([np.full(len(s), i), w0, w1, s, e])[:, some])
+        spans.append(np.stack([start, end]))
+        hashes.append(h)
+        owner.append(np.full(len(h), i))
+        before.append(before[-1] + len(h))
+    h, owner, spans, units = (np.concatenate(x, -1) for x in (hashes, owner, spans, units))
+    before = np.array(before)
+    lo, hi = units[1] + before[units[0]], units[2] + before[units[0]]
+    h1, h2 = (_sums(h, lo, hi, base).view(np.int64) for base in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+    order = np.lexsort((units[1], h2, h1, units[0]))
+    a, b = order[1:], order[:-1]
+    again = np.zeros(len(h1), np.int64)
+    again[a[(units[0][a] == units[0][b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])]] = 1
+    at, w = windows(h, owner)
+    i = owner[at]
+    first = at - before[i]
+    none = np.zeros(len(at), np.int64)
+    more = (i, first, first + WINDOW, spans[0][at], spans[1][at + WINDOW - 1], w.view(np.int64), none, none)
+    return [np.concatenate(x) for x in zip((*units, h1, h2, again), more)]
+
+
+def _parts(texts: list[str]):
+    """Ranges of texts of at most CHARS characters."""
+    lo = size = 0
+    for i, text in enumerate(texts):
+        if i > lo and size + len(text) > CHARS:
+            yield lo, i
+            lo, size = i, 0
+        size += len(text)
+    if texts:
+        yield lo, len(texts)
+
+
+def unit_table(docs: DataFrame, unit: str = "sentence", shared=None) -> DataFrame:
+    """One row per unit and chosen window, with its first word and the word behind it.
+    With ``shared`` (a broadcast filter) only those that may be repeats."""
     def run(batches):
+        bits = None if shared is None else shared.value
         for b in batches:
             texts = b.column(2).to_pylist()
-            for lo in range(0, len(texts), 500):        # bounds the rows built at once
-                row, idx, start, end, words, digest, again = [], [], [], [], [], [], []
-                for i, text in enumerate(texts[lo:lo + 500], lo):
-                    seen: set[bytes] = set()
-                    for k, (s, e, n, norm) in enumerate(units_of(text, unit)):
-                        row.append(i)
-                        idx.append(k)
-                        start.append(s)
-                        end.append(e)
-                        words.append(n)
-                        d = xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
-                        digest.append(d)
-                        again.append(d in seen)
-                        seen.add(d)
-                h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                take = pa.array(row, pa.int64())
+            for lo, hi in _parts(texts):        # bounds the rows built at once
+                columns = cut(texts[lo:hi], unit)
+                if bits is not None:
+                    place = columns[5] & (FILTER_BITS - 1)
+                    may = ((bits[place >> 6] >> (place & 63)) & 1) | columns[7]
+                    columns = [c[may == 1] for c in columns]
+                row, w0, w1, start, end, h1, h2, again = columns
+                take = pa.array(row + lo)
                 yield pa.record_batch([
-                    b.column(0).take(take), b.column(1).take(take), pa.array(idx, pa.int32()),
-                    pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()),
-                    pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.bool_())],
-                    ["doc_id", "text_hash", "idx", "start", "end", "words", "h1", "h2", "again"])
+                    b.column(0).take(take), b.column(1).take(take), pa.array(w0, pa.int32()),
+                    pa.array(w1, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                    pa.array(h1), pa.array(h2), pa.array(again == 1)],
+                    ["doc_id", "text_hash", "w0", "w1", "start", "end", "h1", "h2", "again"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, idx int, start int, end int, words int, "
+    return rows.mapInArrow(run, "doc_id long, text_hash long, w0 int, w1 int, start int, end int, "
                                 "h1 long, h2 long, again boolean")
 
 
+def _filter(shared: DataFrame) -> np.ndarray:
+    """Bits of the digests, FILTER_BITS / 64 longs at most."""
+    place = F.col("h1").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = (shared.select(F.shiftright(place, 6).alias("at"),
+                          F.expr("shiftleft(1L, cast(h1 & 63 as int))").alias("bit"))
+            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return bits
+
+
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, spans: sorted array of (start, end, words, source) to remove, for documents with any."""
-    units = unit_table(docs, unit)
     rank = F.coalesce("doc_id", F.lit(NO_ID))
     # minima of longs: a hash aggregate, combined before the shuffle
-    shared = (units.where(~F.col("again")).select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2")
-              .agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-              .where("first < last").drop("last"))
-    again = (units.join(shared, ["h1", "h2"], "left")
+    shared = table(unit_table(docs, unit).where(~F.col("again")).select("h1", "h2", rank.alias("rank"))
+                   .groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+                   .where("first < last").drop("last"))
+    near = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    again = (unit_table(docs, unit, near).join(shared, ["h1", "h2"], "left")
              .where(F.col("again") | (rank > F.col("first")))
-             .select("doc_id", "text_hash", "idx", "start", "end", "words",
-                     F.coalesce("first", rank).alias("source"))
-             .groupBy("doc_id", "text_hash", "idx", "start", "end", "words").agg(F.min("source").alias("source")))
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
-    runs = (again.withColumn("run", F.col("idx") - F.row_number().over(order))
+             # repeated rows become one before the only shuffle by document
+             .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(
+                 "w0", "w1", "start", "end", F.coalesce("first", rank).alias("source"))).alias("found"))
+             .select("doc_id", "text_hash", F.inline("found")))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("w0", "w1")
+    before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (again.withColumn("new", F.when(F.col("w0") <= before, 0).otherwise(1))
+            .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
             .groupBy("doc_id", "text_hash", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.sum("words").alias("words"), F.nullif(F.min("source"), F.lit(NO_ID)).alias("source"))
+                 (F.max("w1") - F.min("w0")).cast("long").alias("words"),
+                 F.nullif(F.min("source"), F.lit(NO_ID)).alias("source"))
             .where(F.col("words") >= min_words))
     return runs.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "words", "source"))).alias("spans"))

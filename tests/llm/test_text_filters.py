@@ -228,6 +228,32 @@ def test_substring_dedup(spark):
     assert substring.substring_dedup(d).columns == d.columns
 
 
+def test_substring_dedup_inside_sentences(spark):
+    """Passages that begin and end inside a sentence, with and without whole sentences in them."""
+    rnd = random.Random(11)
+    own = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(n))
+    rows, want = [], {}
+    for k, (words, stops) in enumerate([(50, (24,)), (60, ()), (55, (10, 30)), (120, (59,)), (20, ())]):
+        w = own(words).split()
+        passage = " ".join(x + "." if i in stops else x for i, x in enumerate(w))
+        for copy in range(3):
+            i = 100 + 10 * k + copy
+            rows.append((i, f"İ {own(9)} {passage} {own(8)}. {own(30)}.", "en", "s"))
+            want[i] = (words, passage, copy)
+    out, spans = substring.remove_repeats(docs(spark, rows))
+    text = {r[0]: r[1] for r in rows}
+    for r in out.select("doc_id", "text", F.col(spans).alias("s")).collect():
+        words, passage, copy = want[r.doc_id]
+        if copy == 0 or words < substring.MIN_WORDS:
+            assert r.s is None and r.text == text[r.doc_id]
+            continue
+        (s,) = r.s
+        at = text[r.doc_id].index(passage)
+        assert at <= s.start < s.end <= at + len(passage)
+        assert s.words > words - 2 * substring.SPREAD and s.source == r.doc_id - copy
+        assert r.text == text[r.doc_id][:s.start] + text[r.doc_id][s.end:]
+
+
 # ---------------------------------------------------------------- personal data
 def luhn(d):
     s = 0

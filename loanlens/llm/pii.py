@@ -5,6 +5,9 @@ mod-97 for IBANs, ranges for IP parts, phone digits and US social security
 numbers. Each span has a score: the kind's prior, plus a checksum's share, plus
 a share for a context word of its kind shortly before. The four base kinds are
 always kept; spans of the added kinds (iban, ssn) need a score of ``MIN_SCORE``.
+An IBAN is proposed at its start only. Of a country in ``IBAN_LENGTH`` it has that
+country's length; else it is the longest text of 15 to 34 characters from there that
+ends before a blank or mark and passes mod-97. A start inside an IBAN found is none.
 
 Positions come from the texts between matches: ``split`` and
 ``regexp_extract_all`` walk the same matches, so a match starts where the lengths
@@ -33,9 +36,16 @@ PATTERN = {
     # chains of 13 digits or more, whole: shorter ones fail in any case
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the start only: iban_in finds the end
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 #: Priors, shares of a passed checksum and of a context word, threshold, context length.
 PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.3, "phone": 0.5, "iban": 0.2, "ssn": 0.3}
 CHECKSUM = {"card": 0.5, "iban": 0.6}
@@ -48,6 +58,7 @@ WORDS = {
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security",
 }
+SPANS = "array<struct<kind:int,start:int,end:int,score:double>>"
 MARK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "iban": "<IBAN>", "ssn": "<SSN>"}
 
 
@@ -75,6 +86,28 @@ def mod97(v: Column) -> Column:
                        lambda r, c: F.when(c == "", r).otherwise(step(r, c))) == 1
 
 
+def iban_in(near: Column) -> Column:
+    """The IBAN that a text starts with, null where there is none."""
+    run = F.regexp_extract(near, "^[A-Z0-9]+(?: [A-Z0-9]+)*", 0)
+    known = F.create_map(*[F.lit(x) for pair in IBAN_LENGTH.items() for x in pair])
+
+    def ends(n):
+        d = F.replace(F.substr(near, F.lit(1), n), F.lit(" "), F.lit(""))
+        size = F.coalesce(F.try_element_at(known, F.substr(near, F.lit(1), F.lit(2))), F.length(d))
+        return F.when(F.length(d).between(15, 34) & (F.length(d) == size)
+                      & ~F.substr(near, n, F.lit(2)).rlike("^ |^.[A-Za-z0-9]"), mod97(d)).otherwise(False)
+    return F.substr(near, F.lit(1), F.array_max(F.filter(F.sequence(F.lit(1), F.length(run)), ends)))
+
+
+def _apart(spans: Column) -> Column:
+    """``spans``, in order of their starts, without those that start inside one kept before."""
+    return F.aggregate(
+        spans, F.struct(F.array().cast(SPANS).alias("out"), F.lit(0).alias("at")),
+        lambda a, x: F.when(x["start"] < a["at"], a).otherwise(F.struct(
+            F.concat(a["out"], F.array(x)).alias("out"), x["end"].alias("at"))),
+        lambda a: a["out"])
+
+
 def _valid(kind: str, v: Column) -> Column:
     if kind == "email":
         return F.lit(True)
@@ -83,11 +116,10 @@ def _valid(kind: str, v: Column) -> Column:
     if kind == "card":
         d = _digits(v)
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)
+    if kind == "iban":
+        return v.isNotNull()
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
-    if kind == "iban":
-        d = F.replace(v, F.lit(" "), F.lit(""))
-        return F.when(F.length(d).between(15, 34), mod97(d)).otherwise(False)
     return ~F.substr(v, F.lit(1), F.lit(3)).rlike("^(000|666|9)") & ~v.rlike("-00-|-0000$")
 
 
@@ -111,6 +143,11 @@ def add_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
     step = step.withColumns({s: begin(k, F.col(f"`{f}`")) for k, f, s in zip(KINDS, found, starts)})
 
+    # 34 characters, blanks between and one behind
+    f, s = (F.col(f"`{x[KINDS.index('iban')]}`") for x in (found, starts))
+    near = F.transform(F.slice(s, 1, F.size(f)), lambda at: F.substr(t, at + 1, F.lit(68)))
+    step = step.withColumn(found[KINDS.index("iban")], F.when(F.size(f) > 0, F.transform(near, iban_in)).otherwise(f))
+
     def spans(n, k, f, s):
         def span(x):
             v, at = x["v"], x["at"]
@@ -122,8 +159,9 @@ def add_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         all_ = F.filter(F.transform(pairs, span), lambda x: _valid(k, x["v"]))
         if k not in BASE:
             all_ = F.filter(all_, lambda x: x["score"] >= MIN_SCORE)
-        return F.when(F.size(F.col(f"`{f}`")) > 0, F.transform(all_, lambda x: x.dropFields("v"))).otherwise(
-            F.array().cast("array<struct<kind:int,start:int,end:int,score:double>>"))
+        all_ = F.transform(all_, lambda x: x.dropFields("v"))
+        return F.when(F.size(F.col(f"`{f}`")) > 0, _apart(all_) if k == "iban" else all_).otherwise(
+            F.array().cast(SPANS))
 
     step = step.withColumns({y: spans(n, k, f, s) for n, (k, f, s, y) in enumerate(zip(KINDS, found, starts, kept))})
     return step.withColumn(out, F.concat(*[F.col(f"`{y}`") for y in kept])).drop(*found, *starts, *kept), out

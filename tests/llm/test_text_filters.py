@@ -312,6 +312,26 @@ def test_pii_added_and_redacted(spark):
     assert pii.redact(d.limit(0)).count() == 0
 
 
+def test_pii_iban_ends(spark):
+    """Capitals, digits and further IBANs behind an IBAN; the country's length decides its end."""
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    body = "370400440532013"
+    other = f"ZZ{98 - int(''.join(str(int(c, 36)) for c in body + 'ZZ00')) % 97:02d}{body}"    # a country not listed
+    cases = [(de + " Please call", [de]), (de + " 12 May", [de]), (de, [de]), (de + ".", [de]), (de + "X", []),
+             ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+             (f"{gb} {de} {no} A1 B2", [gb, de, no]), (f"é𝔘 {no} {'9 ' * 40}", [no]),
+             (other + " AND MORE", [other]), ("DE89370400440532013001 Please call", []), (de[:-2] + " 00", [de[:-2] + " 00"]),
+             ("AB12 " * 2000, None)]
+    d = docs(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(cases)])
+    df, spans = pii.add_spans(d)
+    got = {r.doc_id: [r.text[x.start:x.end] for x in r[spans] if pii.KINDS[x.kind] == "iban"] for r in df.collect()}
+    red = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    for i, (text, want) in enumerate(cases):
+        if want is not None:
+            assert got[i] == want, text
+    assert red[0] == "<IBAN> Please call" and red[5] == "<IBAN> BIC COBADEFF" and red[6] == "<IBAN> <IBAN> <IBAN> A1 B2"
+
+
 def test_pii_query_digest(spark, tmp_path):
     plain(spark, [(1, PII[4], "en", "s"), (2, None, "en", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in pii.op4_pii_spans(spark, str(tmp_path)).collect()}

@@ -6,6 +6,9 @@ word marks), averaged. A text's score is the posterior of its best language unde
 equal priors. The model is fitted to at most ``PER_LANG`` documents of each
 language (those with the smallest id hash) and keeps at most ``ENTRIES`` words and
 n-grams in all, so that it can be broadcast; scoring reads every word of every text.
+Every language gives its most frequent ones in turn, so that a small language keeps its
+own. Counts are smoothed with one vocabulary size, and what a language has not seen
+has one probability in all of them: little learning text is no evidence.
 
 Defined results: a null text or one without letters is "und" with score 0;
 without any labelled text all are; equal scores go to the language first in
@@ -80,25 +83,26 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, entries: int = ENTRIES):
     counted = (training_sample(docs, per_lang).mapInArrow(_counts, "lang string, n int, token string, c long")
                .groupBy("lang", "n", "token").agg(F.sum("c").alias("c")))
     total = counted.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    by_token = counted.join(total, ["lang", "n"]).groupBy("n", "token").agg(
-        F.sum("c").alias("all"), F.collect_list(F.struct("lang", "c", "total")).alias("by"))
+    place = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "token")
+    by_token = (counted.withColumn("place", F.row_number().over(place)).join(total, ["lang", "n"])
+                .groupBy("n", "token").agg(F.min("place").alias("place"), F.sum("c").alias("all"),
+                                           F.collect_list(F.struct("lang", "c", "total")).alias("by")))
     each = entries // (LONGEST + 1)
-    top = Window.partitionBy("n").orderBy(F.desc("all"), "token")
-    kept = by_token.withColumn("r", F.row_number().over(top)).where(F.col("r") <= each).select("n", "token", "by")
+    every = Window.partitionBy("n")
+    top = every.orderBy("place", F.desc("all"), "token")
+    kept = (by_token.withColumn("r", F.row_number().over(top)).withColumn("distinct", F.count("*").over(every))
+            .withColumn("most", F.max(F.array_max("by.total")).over(every))
+            .where(F.col("r") <= each).select("n", "token", "by", "distinct", "most"))
     rows = kept.toArrow().to_pylist()           # bounded by ``entries``
     langs = sorted({e["lang"] for r in rows for e in r["by"]})
     at = {lang: i for i, lang in enumerate(langs)}
-    # unseen in a language: half a count of an average language
-    size = {}
-    for r in rows:
-        for e in r["by"]:
-            size[r["n"], e["lang"]] = e["total"]
     model: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-    floor = {n: np.log([0.5 / (size.get((n, lang), 0) + 1) for lang in langs]) for n in model}
     for r in rows:
-        v = floor[r["n"]].copy()
+        more = 0.5 * r["distinct"]
+        # unseen: half a count of the language with the most text, for all languages
+        v = np.full(len(langs), np.log(0.5 / (r["most"] + more)))
         for e in r["by"]:
-            v[at[e["lang"]]] = np.log((e["c"] + 0.5) / (e["total"] + 1))
+            v[at[e["lang"]]] = np.log((e["c"] + 0.5) / (e["total"] + more))
         model[r["n"]][r["token"]] = (v - np.logaddexp.reduce(v)).astype(np.float32)
     return langs, model
 

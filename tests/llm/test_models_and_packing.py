@@ -270,6 +270,28 @@ def test_langid_accuracy_and_edges(spark):
     assert langid.identify(docs(spark).limit(0)).count() == 0
 
 
+def test_langid_one_small_language(spark):
+    """A language of two short documents beside a large one: each is predicted as itself, also with few entries."""
+    rnd = random.Random(10)
+    word = lambda letters: "".join(rnd.choices(letters, k=rnd.randint(3, 8)))
+    large = [word("etaoinshrdl") for _ in range(3000)]
+    small = [word("\u00e6\u00f8\u00e5kvjyb") for _ in range(20)]
+    weight = [1 / (k + 5) for k in range(3000)]
+    learn = [i for i in range(5000) if crc(i) % 4 != 2]
+    rows = [(i, " ".join(rnd.choices(large, weight, k=60)), "en", "s") for i in learn[:600]]
+    rows += [(i, " ".join(small[10 * k:10 * k + 10]), "fo", "s") for k, i in enumerate(learn[600:602])]
+    tests = [(10_000 + i, " ".join(rnd.choices(large[200:], k=30)), None, "s") for i in range(100)]
+    tests += [(20_000 + i, " ".join(rnd.choices(small, k=5)), None, "s") for i in range(20)]
+    d = plain(spark, rows + tests)
+    for entries in (langid.ENTRIES, 600):
+        got = {r.doc_id: r.lang_pred for r in langid.identify(d, entries=entries).collect()}
+        assert all(got[t[0]] == ("en" if t[0] < 20_000 else "fo") for t in tests)
+        langs, model = langid.fit(d, entries=entries)
+        assert langs == ["en", "fo"] and set(small) <= set(model[0]) and sum(map(len, model.values())) <= entries
+        for n, known in model.items():
+            assert all(v[0] > v[1] for w, v in known.items() if n == 0 and w in large)
+
+
 def test_langid_cache_is_only_a_cache(monkeypatch):
     v = np.array([0.1, -0.2], np.float32)
     model = {0: {"known": v}, **{n: {} for n in range(1, 6)}}

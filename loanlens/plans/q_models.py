@@ -186,33 +186,42 @@ def q_tree_nodes(spark, sf_dir):
 
 @register("cv_auc")
 def q_cv_auc(spark, sf_dir):
-    """TUN2: 5-fold CV AUC of the tree on the training split."""
+    """TUN2: 5-fold CV AUC of every classifier on the training split."""
     feats, data = model_frame(spark, sf_dir, M.CLASSIFIER)
-    v = cross_validate(data.where("split = 'train'"), feats, "target_flag", "tree",
-                       M.CLASSIFIER, CFG, "auc")
-    return spark.createDataFrame([("tree_classifier", "auc", v)], "model string, metric string, value double")
+    train = data.where("split = 'train'")
+    rows = [(f"{kind}_classifier", "auc", cross_validate(train, feats, "target_flag", kind, M.CLASSIFIER, CFG, "auc"))
+            for kind in ("tree", "forest", "boost", "logistic")]
+    return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
 @register("cv_rmse_ols")
 def q_cv_rmse_ols(spark, sf_dir):
-    """TUN3: 5-fold CV RMSE of OLS on the training split, with the ratio to the mean."""
+    """TUN3: 5-fold CV RMSE of every regressor on the training split, with the ratio to the mean."""
     feats, data = model_frame(spark, sf_dir, M.REGRESSOR)
     train = data.where("split = 'train'")
-    v = cross_validate(train, feats, "target_amt", "linear", M.REGRESSOR, CFG, "rmse")
     mean = train.agg(F.avg("target_amt")).first()[0]
-    return spark.createDataFrame([("linear_regressor", v, v / mean)],
-                                 "model string, cv_rmse double, error_ratio double")
+    rows = []
+    for kind in ("linear", "tree", "forest", "boost"):
+        v = cross_validate(train, feats, "target_amt", kind, M.REGRESSOR, CFG, "rmse")
+        rows.append((f"{kind}_regressor", v, v / mean))
+    return spark.createDataFrame(rows, "model string, cv_rmse double, error_ratio double")
 
 
 @register("grid_search")
 def q_grid_search(spark, sf_dir):
-    """TUN1: the reference's 2 x 2 tree grid, 5 folds, accuracy; best refitted."""
-    feats, data = model_frame(spark, sf_dir, M.CLASSIFIER)
-    train = data.where("split = 'train'")
-    best, table = grid_search(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG)
-    model = M.fit(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG, **best)
-    rows, _ = assess(model, data, CFG, run="grid", cv=True, overrides=best)
-    grid_rows = [("grid", "tree_classifier", "classifier", "train_cv",
-                  "accuracy[" + ",".join(f"{k}={v}" for k, v in sorted(r.items()) if k != "score") + "]",
-                  r["score"]) for r in table]
-    return metrics_frame(spark, rows + grid_rows)
+    """TUN1: the reference's six grids (tree, forest and boosting for both tasks), 5 folds,
+    accuracy or R2; best of each refitted."""
+    feats, frames = model_frames(spark, sf_dir)
+    rows = []
+    for kind in ("tree", "forest", "boost"):
+        for task in (M.CLASSIFIER, M.REGRESSOR):
+            data = frames[task]
+            train = data.where("split = 'train'")
+            best, table = grid_search(train, feats, label_of(task), kind, task, CFG)
+            model = M.fit(train, feats, label_of(task), kind, task, CFG, **best)
+            rows += assess(model, data, CFG, run="grid", cv=True, overrides=best)[0]
+            metric = "accuracy" if task == M.CLASSIFIER else "r2"
+            rows += [("grid", f"{kind}_{task}", task, "train_cv",
+                      metric + "[" + ",".join(f"{k}={v}" for k, v in sorted(r.items()) if k != "score") + "]",
+                      r["score"]) for r in table]
+    return metrics_frame(spark, rows)

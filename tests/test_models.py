@@ -94,3 +94,40 @@ def test_grid_search_refit(spark, frames):
     model = M.fit(train, feats, "target_flag", "tree", M.CLASSIFIER, CFG, **best)
     assert model.estimator.getMaxDepth() == best["maxDepth"]
     assert model.estimator.getMinInstancesPerNode() == best["minInstancesPerNode"]
+
+
+def test_registered_searches_run_every_kind(spark, monkeypatch):
+    """grid_search, cv_auc and cv_rmse_ols run all kinds and tasks, not the first of each."""
+    from types import SimpleNamespace
+
+    from loanlens.plans import q_models as Q
+    data = spark.createDataFrame([("train", 2.0)], "split string, target_amt double")
+    grids = []
+    monkeypatch.setattr(Q, "model_frames", lambda *a: (["x"], {M.CLASSIFIER: data, M.REGRESSOR: data}))
+    monkeypatch.setattr(Q, "model_frame", lambda *a: (["x"], data))
+    monkeypatch.setattr(Q, "cross_validate", lambda *a, **b: 1.0)
+    monkeypatch.setattr(Q, "grid_search", lambda train, feats, label, kind, task, cfg: (
+        grids.append((kind, task)) or {}, [{"maxDepth": 5, "score": 0.5}]))
+    monkeypatch.setattr(Q.M, "fit", lambda *a, **b: SimpleNamespace())
+    monkeypatch.setattr(Q, "assess", lambda *a, **b: ([], None))
+    rows = Q.q_grid_search(spark, "").collect()
+    assert sorted(grids) == sorted((k, t) for k in ("tree", "forest", "boost") for t in (M.CLASSIFIER, M.REGRESSOR))
+    assert {r.model for r in rows} == {f"{k}_{t}" for k, t in grids}
+    assert {r.model for r in Q.q_cv_auc(spark, "").collect()} == {
+        "tree_classifier", "forest_classifier", "boost_classifier", "logistic_classifier"}
+    out = Q.q_cv_rmse_ols(spark, "").collect()
+    assert {r.model for r in out} == {f"{k}_regressor" for k in ("linear", "tree", "forest", "boost")}
+    assert all(r.error_ratio == 0.5 for r in out)
+
+
+def test_mlp_sigmoid_runs_every_depth(monkeypatch):
+    from types import SimpleNamespace
+
+    from loanlens.plans import q_neural as Q
+    layers, names = [], []
+    monkeypatch.setattr(Q, "scaled_frames", lambda *a: (["x", "y"], SimpleNamespace(where=lambda c: None), None))
+    monkeypatch.setattr(Q.M, "fit", lambda *a, **b: layers.append(b["layers"]) or SimpleNamespace(name="mlp_classifier"))
+    monkeypatch.setattr(Q, "assess", lambda *a, **b: (names.append(b["label_name"]) or [], None))
+    monkeypatch.setattr(Q, "metrics_frame", lambda spark, rows: rows)
+    Q.q_mlp_sigmoid(None, "")
+    assert layers == [[2, 4, 2], [2, 4, 4, 2]] and names == ["mlp_classifier_1", "mlp_classifier_2"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, lm, packing, pieces, pii, quality, simhash, substring, topk
+from . import chat, exact, langid, lexical, lm, packing, phrases, pieces, pii, quality, simhash, substring, topk
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_chat_collapse": chat.op9_chat_collapse,
     "op10_word_first_langid": langid.op10_word_first_langid,
+    "op11_presence_mask_search": lexical.op11_presence_mask_search,
+    "op12_multikey_phrases": phrases.op12_multikey_phrases,
+    "op13_digest_index": exact.op13_digest_index,
 }
 ORACLES = {
     "op5_norm_sorted_topk": topk.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_chat_collapse": chat.ORACLE,
+    "op11_presence_mask_search": lexical.ORACLE,
+    "op12_multikey_phrases": phrases.ORACLE,
+    "op13_digest_index": exact.ORACLE,
 }

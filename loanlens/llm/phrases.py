@@ -15,8 +15,10 @@ a pivot word into smaller, equal and greater; equal partitions go one word deepe
 sizes are the counts of the phrases they spell; partitions below LEAST are abandoned.
 A route longer than a buffer is counted part by part without abandoning, and the parts are summed.
 
-Words that are rare in their language cannot be in a candidate. A bit table of fixed size (``BITS``) over the
-frequent ones spares their suffixes the shuffle; what it lets pass is counted all the same.
+No candidate holds a rare word or a rare pair of neighbours. Words are counted exactly, pairs by 64-bit
+hashes (a sum of collided pairs is only too high); bit tables of fixed size (``BITS``) over the frequent words and
+pairs end the suffixes at the first rare one before the shuffle. What a table lets pass is counted all
+the same, so a table that is full costs time, not results.
 
 Scores are exact (38-digit decimals). Defined results: null texts are empty, a null language is "und"; ids
 are not used, so repeated rows count each; languages without a candidate have no rows; an empty table has
@@ -40,8 +42,10 @@ LEAST, DEPTH, TOP = 30, 4, 2000
 HOT = 500
 #: Bytes of text cut at once (a longer text alone), rows of a buffer, suffixes planned for a task.
 BYTES, BUFFER, TASK = 4_000_000, 1_000_000, 1_000_000
-#: Bits of the table of frequent words.
+#: Bits of each table, of the frequent words and of the frequent pairs.
 BITS = 1 << 25
+#: Pairs summed in a task before they are handed on.
+PAIRS = 4_000_000
 #: Capitals lowered; marks and line ends become the end of a piece (10), tabs blanks.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 UND = "und"
@@ -95,17 +99,64 @@ def word_counts(docs: DataFrame) -> DataFrame:
             .groupBy("lang", "word").agg(F.sum("c").alias("c")))
 
 
-def _bit_table(words: DataFrame) -> np.ndarray:
-    """Bits of the words, BITS / 64 longs at most."""
-    place = F.crc32(F.concat("lang", F.lit("\n"), "word").cast("binary")).bitwiseAND(F.lit(BITS - 1))
-    rows = (words.select(F.shiftright(place, 6).alias("at"), place.bitwiseAND(F.lit(63)).cast("int").alias("low"))
-            .select("at", F.expr("shiftleft(1L, low)").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
+def _bit_table(place, rows: DataFrame) -> np.ndarray:
+    """Bits of the places (a column of longs), BITS / 64 longs at most."""
+    at = place.bitwiseAND(F.lit(BITS - 1))
+    found = (rows.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("low"))
+             .select("at", F.expr("shiftleft(1L, low)").alias("bit"))
+             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
     bits = np.zeros(BITS // 64, np.int64)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return bits
 
 
+def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    place = place & (len(bits) * 64 - 1)
+    return ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
+
+
+def _neighbours(lang: str, texts: list[bytes], bits: np.ndarray):
+    """Words of the texts, their codes, whether each one and the next are frequent and of one piece, and the
+    hash of the two."""
+    words, piece = cut_words(texts)
+    code = words.indices.to_numpy().astype(np.int64)
+    start = zlib.crc32(lang.encode() + b"\n")
+    place = np.array([zlib.crc32(w, start) for w in words.dictionary.to_pylist()], np.int64)
+    often = _has(bits, place)[code] if len(code) else np.zeros(0, bool)
+    x = place.astype(np.uint64)[code]
+    h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((x[1:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))).view(np.int64)
+    return words, code, (piece[1:] == piece[:-1]) & often[1:] & often[:-1], h
+
+
+def pair_counts(docs: DataFrame, bits) -> DataFrame:
+    """pair (hash), c: counts of neighbouring frequent words; ``bits``: broadcast table of the frequent words."""
+    def summed(parts):
+        keys, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        c = np.zeros(len(keys), np.int64)
+        np.add.at(c, group, np.concatenate([c for _, c in parts]))
+        return keys, c
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for lang, texts in _parts(b):
+                _, _, ok, h = _neighbours(lang, texts, bits.value)
+                held.append(np.unique(h[ok], return_counts=True))
+                size += len(held[-1][0])
+                if size >= PAIRS:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size >= PAIRS // 2:
+                        yield pa.record_batch([pa.array(x) for x in held[0]], ["pair", "c"])
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(x) for x in summed(held)], ["pair", "c"])
+
+    return _texts(docs).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+
 def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and group number of equal rows of small integer columns."""
     group = keys[0].astype(np.int64)
@@ -123,32 +174,28 @@ def _phrases(words: pa.DictionaryArray, codes: np.ndarray, size: np.ndarray) ->
     return pc.binary_join(pa.ListArray.from_arrays(cut, flat.cast(pa.string())), " ")
 
 
-def suffixes(docs: DataFrame, bits, hot: dict[str, set[bytes]], depth: int = DEPTH) -> DataFrame:
+def suffixes(docs: DataFrame, bits, pairs, hot: dict[str, set[bytes]], depth: int = DEPTH) -> DataFrame:
     """lang, phrase, lead, c: the suffixes of two words or more, summed within batches. A row counts for the
-    phrases of ``lead`` words and more that it begins with. ``bits``: broadcast table of frequent words."""
+    phrases of ``lead`` words and more that it begins with. ``bits``, ``pairs``: broadcast tables of the frequent
+    words and pairs."""
     def run(batches):
         for b in batches:
             for lang, texts in _parts(b):
-                words, piece = cut_words(texts)
-                code = words.indices.to_numpy().astype(np.int64)
-                if len(code) < 2:
+                words, code, ok, h = _neighbours(lang, texts, bits.value)
+                if not ok.any():
                     continue
+                ok &= _has(pairs.value, h)
                 names = words.dictionary.to_pylist()
-                start = zlib.crc32(lang.encode() + b"\n")
-                place = np.array([zlib.crc32(w, start) for w in names], np.int64) & (len(bits.value) * 64 - 1)
-                often = ((bits.value[place >> 6] >> (place & 63)) & 1).astype(bool)
                 is_hot = np.array([w in hot.get(lang, ()) for w in names])
-                # words after each one that are in its piece and frequent, up to depth
+                # each word with those that follow it over frequent pairs, up to depth
                 n = len(code)
                 codes = np.zeros((n, depth), np.int64)
                 codes[:, 0] = code
-                go, size = often[code], np.zeros(n, np.int64)
-                size += go
+                go, size = np.ones(n, bool), np.ones(n, np.int64)
                 for k in range(1, depth):
-                    step = np.zeros(n, bool)
-                    step[:n - k] = go[:n - k] & (piece[k:] == piece[:n - k]) & often[code[k:]]
+                    go[:n - k] &= ok[k - 1:]
+                    go[n - k:] = False
                     codes[:n - k, k] = code[k:]
-                    go = step
                     size += go
                 some = np.flatnonzero(size >= 2)
                 codes, size = codes[some], size[some]
@@ -281,10 +328,12 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, min_count: int
     hot: dict[str, set[bytes]] = {}
     for r in words.where(F.col("c") * HOT > total).collect():       # HOT words at most
         hot.setdefault(r["lang"], set()).add(r["word"].encode())
-    bits = spark.sparkContext.broadcast(_bit_table(words.where(F.col("c") >= min_count)))
+    often = words.where(F.col("c") >= min_count)
+    bits = spark.sparkContext.broadcast(_bit_table(F.crc32(F.concat("lang", F.lit("\n"), "word").cast("binary")), often))
+    pairs = spark.sparkContext.broadcast(_bit_table(F.col("pair"), pair_counts(docs, bits).where(F.col("c") >= min_count)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     route = F.xxhash64("lang", "lead", F.expr("substring_index(phrase, ' ', lead)"))
-    routed = (suffixes(docs, bits, hot).withColumn("route", route).repartition(tasks, "route")
+    routed = (suffixes(docs, bits, pairs, hot).withColumn("route", route).repartition(tasks, "route")
               .sortWithinPartitions("route").select("route", "lang", "phrase", "lead", "c"))
     return (routed.mapInArrow(_counter(min_count), "lang string, phrase string, a long")
             .groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count))

@@ -121,23 +121,21 @@ def test_lm_beats_unigrams_on_held_out_texts(spark):
 
 # ---------------------------------------------------------------- top-k
 def brute_topk(rows, k=10, every=100):
-    best = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            x = [math.floor(1024 * c) for c in v]
-            best[i] = min(best.get(i, x), x)
+    """Every row for itself: rows that share an id are candidates of each other."""
+    xs = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows
+          if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in best:
-        if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(best[q], best[c])), c) for c in best
-                       if c != q and len(best[c]) == len(best[q]))[:k]
-            out += [(q, n, c, -x) for n, (x, c) in enumerate(s, 1)]
+    for q, (i, x) in enumerate(xs):
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, y)), j) for c, (j, y) in enumerate(xs) if c != q and len(x) == len(y))[:k]
+            out += [(i, n, j, -x) for n, (x, j) in enumerate(s, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("block", [2048, 16])
 def test_topk_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCK", block * 24)
+    monkeypatch.setattr(topk, "QUERIES", block * 24 // 4)
     monkeypatch.setattr(topk, "SEED", block)
     monkeypatch.setattr(topk, "LANE", 2)
     rng = np.random.default_rng(4)
@@ -152,6 +150,23 @@ def test_topk_brute_force(spark, monkeypatch, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_repeated_ids_equal_the_sql(spark, tmp_path):
+    import duckdb
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [3.0, 0.0]), (2, [4.0, 0.0]), (100, None), (200, [None, 1.0]), (300, [math.nan, 1.0])]
+    rows += [(int(i), rng.normal(size=2).tolist()) for i in rng.integers(0, 4, 60) * 100]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    want = con.sql(topk.ORACLE).fetchall()
+    got = topk.top_k(df).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    four = topk.top_k(df.limit(4)).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in sorted(four, key=lambda r: r.rank)] == [
+        (0, 1, 5242880), (0, 2, 4194304), (0, 1, 3145728)]
+
+
 # ---------------------------------------------------------------- packing
 def test_lower_bound_is_a_bound():
     rnd = random.Random(6)

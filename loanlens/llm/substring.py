@@ -1,28 +1,35 @@
-"""Operator 3: repeated passages by line or paragraph hashing and word windows.
+"""Operator 3: repeated passages by line hashing, extended by word windows.
 
-Texts are cut into units (sentences within lines by default; lines or
-paragraphs on request). A unit is normalised (lower case, words only) and hashed to 128
+Texts are cut into units (sentences within lines by default; whole lines or
+paragraphs on request). A unit is normalised (lower case, words only) and hashed to 96
 bits. Over all documents the digests are grouped and the earliest occurrence in
 rank (smallest doc_id, then position) keeps its place; every other occurrence is a
-repeat. Repeats within a document are seen where it is cut into units; the digests
-then only need the smallest doc_id that holds them.
+repeat. Repeats within a document are seen where it is cut into units.
 
-Passages that begin or end inside a unit are found by windows of ``WINDOW`` words:
-of every ``SPREAD`` windows that follow each other the one with the smallest hash is a
-unit too (winnowing), so equal words choose equal windows wherever they stand. A window
+Windows of ``WINDOW`` words extend the units to passages that begin or end inside one:
+of every ``SPREAD`` windows that follow each other the one with the smallest hash is
+hashed too (winnowing), so equal words choose equal windows wherever they stand. A window
 is a repeat if an earlier document holds it. At each end of a passage fewer than
 ``SPREAD`` words that belong to no whole unit can stay; repeats of MIN_WORDS + 2 *
 (SPREAD - 1) words are always found. Repeats within one document are found as whole
 units only.
 
-Stretches of words that repeated units cover without a gap and that hold ``MIN_WORDS``
+Stretches of words that repeated units and windows cover without a gap and that hold ``MIN_WORDS``
 words or more are removed. Offsets are those of the original text (code points, end
-exclusive), each with the smallest document that keeps a unit of the stretch.
+exclusive), each with an earlier document that holds a unit of the stretch (the document itself
+for repeats within it) and with the stage that found it: unit, window or both.
+
+Texts are cut once. Of the occurrences that are cut together all but the earliest are known
+repeats; only the earliest meets the other batches, so that a digest that every document
+holds is one row a batch. One exchange of narrow rows by digest, sorted by rank, finds the
+repeats with a running first value; they alone go on to their documents. Texts without a repeat are
+not shuffled: a bit table of ``DOC_BITS`` bits tells most of them (the rest meet the spans and find none).
 
 Short repeated units alone ("Of.") stay, as do single short boilerplate lines.
 Defined results: null and empty texts have no units and stay as they are; rows that
 share a doc_id are one document, so units that only they hold are no repeats of each
-other; rows without id are one document that ranks last.
+other; rows without id are one document that ranks last; an empty table stays empty. Very long texts
+are cut alone, whole.
 """
 
 from __future__ import annotations
@@ -38,10 +45,10 @@ from pyspark.sql import functions as F
 from .common import fresh, read_table, table, text_of
 
 MIN_WORDS = 25
-#: Words of a window; one of every SPREAD windows in a row is chosen.
-WINDOW, SPREAD = 12, 8
-#: Bits of the filter of shared digests that workers hold: it only spares rows in the join.
-FILTER_BITS = 1 << 27
+#: Words of a window; one of every SPREAD windows in a row is chosen (at most WINDOW, so that windows leave no gap).
+WINDOW, SPREAD = 12, 12
+#: Bits of the table of documents with repeats: it only spares texts the shuffle.
+DOC_BITS = 1 << 24
 #: Characters that are cut at once (a longer text is cut alone).
 CHARS = 2_000_000
 #: Rank of documents without id: behind all others.
@@ -56,16 +63,6 @@ AFTER_MARK = re.compile(r"[.!?\n](?:(?<=\n)\n*|(?<=[.!?])[ \t]+)")
 WORD = re.compile(r"\w+")
 
 
-def units_of(text: str, unit: str = "sentence"):
-    """(start, end, words, normalised text) of each unit that holds a word."""
-    at = 0
-    for start, end in [*(m.span() for m in SEPARATOR[unit].finditer(text)), (len(text), len(text))]:
-        words = WORD.findall(text[at:start].lower())
-        if words:
-            yield at, start, len(words), " ".join(words)
-        at = end
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -148,8 +145,8 @@ def _breaks(text: str, unit: str):
 
 
 def cut(texts: list[str], unit: str = "sentence") -> list[np.ndarray]:
-    """Columns of the units and chosen windows of all texts: text, first word, word behind,
-    start, end, digest (two longs; the second is 0 for windows), 1 for repeats in a text."""
+    """Columns of the units and chosen windows of all texts: text, first word, word behind, start, end,
+    digest (a long and an int), 1 for repeats in a text, 1 for windows."""
     spans, units, hashes, owner, before = [], [], [], [], [0]
     for i, text in enumerate(texts):
         start, end, h = words_in(text)
@@ -165,7 +162,7 @@ def cut(texts: list[str], unit: str = "sentence") -> list[np.ndarray]:
     h, owner, spans, units = (np.concatenate(x, -1) for x in (hashes, owner, spans, units))
     before = np.array(before)
     lo, hi = units[1] + before[units[0]], units[2] + before[units[0]]
-    h1, h2 = (_sums(h, lo, hi, base).view(np.int64) for base in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+    h1, h2 = _sums(h, lo, hi, 0xA0761D6478BD642F).view(np.int64), _second(h, lo, hi)
     order = np.lexsort((units[1], h2, h1, units[0]))
     a, b = order[1:], order[:-1]
     again = np.zeros(len(h1), np.int64)
@@ -174,8 +171,14 @@ def cut(texts: list[str], unit: str = "sentence") -> list[np.ndarray]:
     i = owner[at]
     first = at - before[i]
     none = np.zeros(len(at), np.int64)
-    more = (i, first, first + WINDOW, spans[0][at], spans[1][at + WINDOW - 1], w.view(np.int64), none, none)
-    return [np.concatenate(x) for x in zip((*units, h1, h2, again), more)]
+    more = (i, first, first + WINDOW, spans[0][at], spans[1][at + WINDOW - 1], w.view(np.int64),
+            _second(h, at, at + WINDOW), none, none + 1)
+    return [np.concatenate(x) for x in zip((*units, h1, h2, again, np.zeros(len(h1), np.int64)), more)]
+
+
+def _second(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """32 further bits of a digest."""
+    return (_sums(h, lo, hi, 0xE7037ED1A0B428DB) >> np.uint64(32)).astype(np.int64) - (1 << 31)
 
 
 def _parts(texts: list[str]):
@@ -190,87 +193,97 @@ def _parts(texts: list[str]):
         yield lo, len(texts)
 
 
-def unit_table(docs: DataFrame, unit: str = "sentence", shared=None) -> DataFrame:
-    """One row per unit and chosen window, with its first word and the word behind it.
-    With ``shared`` (a broadcast filter) only those that may be repeats."""
+def unit_table(docs: DataFrame, unit: str = "sentence") -> DataFrame:
+    """One row per unit and chosen window: its document, first word, number of words (0: a window), start, length,
+    digest, and for known repeats the document they repeat (source) and a key of their own."""
     def run(batches):
-        bits = None if shared is None else shared.value
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts, ranks = b.column(2).to_pylist(), b.column(0).fill_null(NO_ID).to_numpy()
+            hashes = b.column(1).to_numpy()
             for lo, hi in _parts(texts):        # bounds the rows built at once
-                columns = cut(texts[lo:hi], unit)
-                if bits is not None:
-                    place = columns[5] & (FILTER_BITS - 1)
-                    may = ((bits[place >> 6] >> (place & 63)) & 1) | columns[7]
-                    columns = [c[may == 1] for c in columns]
-                row, w0, w1, start, end, h1, h2, again = columns
-                take = pa.array(row + lo)
+                # repeated rows are cut once
+                _, once = np.unique(np.stack([ranks[lo:hi], hashes[lo:hi]]), axis=1, return_index=True)
+                once = lo + np.sort(once)
+                row, w0, w1, start, end, h1, h2, again, window = cut([texts[i] for i in once], unit)
+                rank = ranks[once][row]
+                source = np.where(again == 1, rank, -1)
+                known = again == 1
+                order = np.lexsort((rank, h2, h1, known))
+                order = order[:len(order) - int(known.sum())]
+                if len(order):
+                    a, z = order[1:], order[:-1]
+                    new = np.r_[True, (h1[a] != h1[z]) | (h2[a] != h2[z])]
+                    least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                    later = rank[order] > least
+                    source[order[later]] = least[later]
+                    known[order[later]] = True
+                key = np.where(known, hashes[once][row], 0)
                 yield pa.record_batch([
-                    b.column(0).take(take), b.column(1).take(take), pa.array(w0, pa.int32()),
-                    pa.array(w1, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                    pa.array(h1), pa.array(h2), pa.array(again == 1)],
-                    ["doc_id", "text_hash", "w0", "w1", "start", "end", "h1", "h2", "again"])
+                    pa.array(key), pa.array(h1), pa.array(h2, pa.int32()), pa.array(rank), pa.array(hashes[once][row]),
+                    pa.array(w0, pa.int32()), pa.array(np.where(window == 1, 0, w1 - w0), pa.int32()), pa.array(start, pa.int32()),
+                    pa.array(end - start, pa.int32()), pa.array(source, mask=~known)],
+                    ["key", "h1", "h2", "rank", "text_hash", "w0", "n", "start", "length", "source"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, w0 int, w1 int, start int, end int, "
-                                "h1 long, h2 long, again boolean")
-
-
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bits of the digests, FILTER_BITS / 64 longs at most."""
-    place = F.col("h1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = (shared.select(F.shiftright(place, 6).alias("at"),
-                          F.expr("shiftleft(1L, cast(h1 & 63 as int))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return bits
+    return rows.mapInArrow(run, "key long, h1 long, h2 int, rank long, text_hash long, w0 int, n int, start int, "
+                                "length int, source long")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, spans: sorted array of (start, end, words, source) to remove, for documents with any."""
-    rank = F.coalesce("doc_id", F.lit(NO_ID))
-    # minima of longs: a hash aggregate, combined before the shuffle
-    shared = table(unit_table(docs, unit).where(~F.col("again")).select("h1", "h2", rank.alias("rank"))
-                   .groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-                   .where("first < last").drop("last"))
-    near = docs.sparkSession.sparkContext.broadcast(_filter(shared))
-    again = (unit_table(docs, unit, near).join(shared, ["h1", "h2"], "left")
-             .where(F.col("again") | (rank > F.col("first")))
-             # repeated rows become one before the only shuffle by document
-             .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(
-                 "w0", "w1", "start", "end", F.coalesce("first", rank).alias("source"))).alias("found"))
-             .select("doc_id", "text_hash", F.inline("found")))
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("w0", "w1")
+    """rank (doc_id, NO_ID for none), text_hash, spans: sorted array of (start, end, words, source, by) to remove, for
+    documents with any. Written, as two joins read it."""
+    same = Window.partitionBy("key", "h1", "h2").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = (unit_table(docs, unit).withColumn("first", F.first("rank").over(same))
+             .where(F.col("source").isNotNull() | (F.col("rank") > F.col("first")))
+             .select("rank", "text_hash", "w0", "start", F.coalesce("source", "first").alias("source"), (F.col("n") == 0).alias("window"),
+                     (F.col("w0") + F.when(F.col("n") == 0, WINDOW).otherwise(F.col("n"))).alias("w1"),
+                     (F.col("start") + F.col("length")).alias("end")))
+    order = Window.partitionBy("rank", "text_hash").orderBy("w0", "w1")
     before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    by = F.when(F.bool_and("window"), "window").when(F.bool_or("window"), "both").otherwise("unit")
     runs = (again.withColumn("new", F.when(F.col("w0") <= before, 0).otherwise(1))
             .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("doc_id", "text_hash", "run")
+            .groupBy("rank", "text_hash", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"),
                  (F.max("w1") - F.min("w0")).cast("long").alias("words"),
-                 F.nullif(F.min("source"), F.lit(NO_ID)).alias("source"))
+                 F.nullif(F.min("source"), F.lit(NO_ID)).alias("source"), by.alias("by"))
             .where(F.col("words") >= min_words))
-    return runs.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "words", "source"))).alias("spans"))
+    return table(runs.groupBy("rank", "text_hash").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "words", "source", "by"))).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
     """``docs`` with the repeats cut out of ``text`` and the removed spans (null: none)
     in a further column; returns the frame and that column's name."""
-    spans, h, sid, sh = fresh(docs, "removed_spans", "text_hash_", "span_id", "span_hash")
-    found = repeated_spans(docs, unit, min_words).select(
-        F.col("doc_id").alias(sid), F.col("text_hash").alias(sh), F.col("spans").alias(spans))
-    out = docs.withColumn(h, F.xxhash64("text"))
-    out = out.join(found, out["doc_id"].cast("long").eqNullSafe(found[sid]) & (out[h] == found[sh]), "left")
+    spans, h, rank, at, bits, sid, sh = fresh(docs, "removed_spans", "text_hash_", "span_rank", "span_at", "span_bits",
+                                              "span_id", "span_hash")
+    found = repeated_spans(docs, unit, min_words)
+
+    def place(i, t):
+        return F.xxhash64(i, t).bitwiseAND(F.lit(DOC_BITS - 1))
+
+    # DOC_BITS / 64 rows at most
+    few = (found.select(place("rank", "text_hash").alias("p"))
+           .select(F.shiftright("p", 6).alias(at), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+           .groupBy(at).agg(F.bit_or("bit").alias(bits)))
+    known = docs.withColumns({h: F.xxhash64("text"), rank: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    known = known.withColumn(at, F.shiftright(place(rank, h), 6)).join(F.broadcast(few), at, "left")
+    bit = F.call_function("shiftright", F.col(bits), place(rank, h).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    may = F.coalesce(bit == 1, F.lit(False))
+    held = found.select(F.col("rank").alias(sid), F.col("text_hash").alias(sh), F.col("spans").alias(spans))
     t = F.col("text")
-    cut = F.aggregate(
-        F.col(spans), F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(F.concat(a["out"], F.array(F.substr(t, a["at"] + 1, x["start"] - a["at"]))).alias("out"),
-                              x["end"].alias("at")),
-        lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(t, a["at"] + 1))), ""))
-    text = F.when(F.col(spans).isNull(), t).otherwise(cut)
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(spans)), spans
+    n = F.size(spans)
+    # the text before each span and behind the last
+    left = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr(
+        t, F.when(i > 0, F.get(F.col(spans), F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0) + 1,
+        F.when(i < n, F.get(F.col(spans), i)["start"]).otherwise(F.length(t))
+        - F.when(i > 0, F.get(F.col(spans), F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0)))
+    text = F.when(F.col(spans).isNull(), t).otherwise(F.array_join(left, ""))
+    hit = known.where(may).join(held, (F.col(rank) == F.col(sid)) & (F.col(h) == F.col(sh)), "left")
+    out = hit.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(spans))
+    rest = known.where(~may).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(None).cast(found.schema["spans"].dataType).alias(spans))
+    return out.unionByName(rest), spans
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -282,7 +295,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, spans = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    s = F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int,words:bigint,source:bigint>>"))
+    s = F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int,words:bigint,source:bigint,by:string>>"))
     return out.select(
         "doc_id", F.size(s).cast("long").alias("n_removed"),
         F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("removed_words"),

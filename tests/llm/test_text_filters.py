@@ -174,25 +174,74 @@ def test_near_dedup(spark):
 
 
 # ---------------------------------------------------------------- substring
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x = (x ^ x >> 32) * 0x94D049BB133111EB & M64
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & M64
+    return x ^ x >> 32
+
+
+def word_hash(word):
+    power, total = 1, len(word)
+    for c in word:
+        total += mix64(ord(c) + 0x9E3779B97F4A7C15 & M64) * power
+        power = power * 0xD6E8FEB86659FD93 & M64
+    return mix64(total & M64)
+
+
+def two(a, b):
+    return mix64(a * 0x9E3779B97F4A7C15 + (b ^ b >> 31) & M64)
+
+
+def brute_units(text):
+    """Sentences and chosen windows in plain Python: (first word, word behind, start, end, content)."""
+    low, origin = [], []
+    for i, c in enumerate(text):        # letters may grow in lower case
+        low.append(c.lower())
+        origin += [i] * len(c.lower())
+    low = text.lower() if len(text.lower()) == len(text) else "".join(low)
+    words = [(origin[m.start()], origin[m.end() - 1] + 1, m[0]) for m in re.finditer(r"\w+", low)]
+    marks = [m.span() for m in re.finditer(r"(?<=[.!?])[ \t]+|\n+", text)]
+    out = []
+    for s, e in zip([0] + [e for _, e in marks], [s for s, _ in marks] + [len(text)]):
+        inside = [k for k, w in enumerate(words) if s <= w[0] < e]
+        if inside:
+            out.append((inside[0], inside[-1] + 1, s, e, ("unit", *(words[k][2] for k in inside))))
+    W, S = substring.WINDOW, substring.SPREAD
+    h = [word_hash(w[2]) for w in words]
+    pairs = [two(a, b) for a, b in zip(h, h[1:])]
+    fours = [two(pairs[i], pairs[i + 2]) for i in range(len(pairs) - 2)]
+    least = [two(two(fours[i], fours[i + 4]), fours[i + 8]) for i in range(len(words) - W + 1)]
+    chosen = {i + k for i in range(len(least) - S + 1) for k in range(S) if least[i + k] == min(least[i:i + S])}
+    if 0 < len(least) < S:
+        chosen = {least.index(min(least))}
+    return out + [(i, i + W, words[i][0], words[i + W - 1][1], ("window", *(w[2] for w in words[i:i + W]))) for i in sorted(chosen)]
+
+
 def brute_repeats(rows, min_words=substring.MIN_WORDS):
     """Removed spans per (id, text), rows that share an id being one document."""
     first, out = {}, {}
     rank = lambda i: math.inf if i is None else i
-    for t in rows:
-        for *_, norm in substring.units_of(t[1] or ""):
-            first[norm] = min(first.get(norm, math.inf), rank(t[0]))
-    for t in rows:
-        runs, last, seen = [], None, set()
-        for k, (s, e, n, norm) in enumerate(substring.units_of(t[1] or "")):
-            if rank(t[0]) > first[norm] or norm in seen:
-                if last == k - 1 and runs:
-                    runs[-1][1] = e
-                    runs[-1][2] += n
-                else:
-                    runs.append([s, e, n])
-                last = k
-            seen.add(norm)
-        out[(t[0], t[1] or "")] = [(s, e) for s, e, n in runs if n >= min_words]
+    units = {(t[0], t[1] or ""): brute_units(t[1] or "") for t in rows}
+    for (i, _), found in units.items():
+        for *_, content in found:
+            first[content] = min(first.get(content, math.inf), rank(i))
+    for (i, text), found in units.items():
+        covered, seen = [], set()
+        for w0, w1, s, e, content in found:
+            if rank(i) > first[content] or (content[0] == "unit" and content in seen):
+                covered.append((w0, w1, s, e))
+            seen.add(content)
+        runs = []
+        for w0, w1, s, e in sorted(covered):
+            if runs and w0 <= runs[-1][1]:
+                r = runs[-1]
+                runs[-1] = (r[0], max(r[1], w1), min(r[2], s), max(r[3], e))
+            else:
+                runs.append((w0, w1, s, e))
+        out[(i, text)] = [(s, e) for w0, w1, s, e in runs if w1 - w0 >= min_words]
     return out
 
 
@@ -212,6 +261,8 @@ def test_substring_dedup(spark):
     want = brute_repeats(rows)
     got = out.select("doc_id", "text", spans).collect()
     assert len(got) == len(rows)
+    assert {(r.doc_id, s.start, s.end) for r in got for s in r[2] or []} == {(i, s, e) for (i, _), c in want.items() for s, e in c}
+    assert "both" in {s.by for r in got for s in r[2] or []} <= {"unit", "window", "both"}
     texts = Counter()
     for (i, text), cut in want.items():
         n = sum(1 for t in rows if t[0] == i and (t[1] or "") == text)
@@ -250,7 +301,8 @@ def test_substring_dedup_inside_sentences(spark):
         (s,) = r.s
         at = text[r.doc_id].index(passage)
         assert at <= s.start < s.end <= at + len(passage)
-        assert s.words > words - 2 * substring.SPREAD and s.source == r.doc_id - copy
+        assert s.words > words - 2 * substring.SPREAD and r.doc_id - copy <= s.source < r.doc_id
+        assert s.by == ("window" if "." not in passage else "both" if passage.count(".") > 1 else s.by)
         assert r.text == text[r.doc_id][:s.start] + text[r.doc_id][s.end:]
 
 

@@ -179,6 +179,8 @@ def _pack_group(capacity: int, stage: int):
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         lengths = pdf["length"].to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
+        if len(room) >= 1 << 24:
+            raise OverflowError("more sequences in a group than ids for them")
         gap = len(room) - lower_bound(lengths, capacity)
         back = room > 0
         if gap == 0:
@@ -200,7 +202,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, group_items: int = ITEMS,
     out, todo, held = [full], items.where(F.col("length") < capacity), None
     for stage in range(rounds):
         groups = max(1, -(-todo.count() // group_items))
-        g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(stage)), F.lit(groups))
+        # by place in the written rows, not by content: rows that are equal spread too
+        g = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(stage)), F.lit(groups))
         packed = table(todo.select(*cols, g.alias("g")).groupBy("g").applyInPandas(_pack_group(capacity, stage), PLACED))
         used, back = packed.agg(F.countDistinct("sequence_id"),
                                 F.countDistinct(F.when(F.col("open"), F.col("sequence_id")))).first()

@@ -222,6 +222,15 @@ def test_packing(spark, items):
     assert packing.pack_documents(docs(spark).limit(0), packing.tokenizer_path()).count() == 0
 
 
+def test_packing_spreads_identical_rows(spark):
+    items = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                     F.lit(7).alias("length"), F.lit(1).cast("long").alias("ids_crc32")).checkpoint()
+    got = packing.place(items, 64, group_items=100, rounds=1)
+    groups = got.groupBy(F.shiftright("sequence_id", 24).alias("g")).count().collect()
+    assert len(groups) == 30 and max(r["count"] for r in groups) < 160
+    assert got.select("sequence_id", "offset").distinct().count() == 3000
+
+
 def test_packed_sequences_hold_the_ids(spark):
     rows = [(i, f"document number {i} " * (i % 9), "en", "s") for i in range(40)]
     found = packing.pieces(plain(spark, rows), packing.tokenizer_path(), 32)

@@ -28,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import SPACE, fresh, read_table, table, text_of, words_of
 
 #: Rule -> cutoffs, lenient first (parameters of the search, not of the data).
@@ -179,10 +180,11 @@ def judge(scored: DataFrame, names: dict[str, str], cutoffs: DataFrame, lang: st
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. The counts are computed
-    once for the labelled documents and once for the filter, so that no text is
-    written in between."""
+    """The documents that pass, with their own columns. The documents are written with their
+    counts as Parquet: one pass counts, calibration reads the counts' columns only, the
+    filter the whole rows."""
     scored, names = add_counts(docs)
+    scored = stored(scored, "quality")
     cutoffs = table(calibrate(scored, names, labels))
     out, kept = judge(scored, names, cutoffs)
     return out.where(F.col(f"`{kept}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

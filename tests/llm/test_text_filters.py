@@ -79,6 +79,21 @@ def test_quality_messy(spark):
     assert quality.quality_filter(d.limit(0), labels).count() == 0
 
 
+def test_quality_equals_the_sql_where_cutoffs_certify(spark):
+    """sf0.1 holds enough labels for the cutoffs of one language."""
+    import duckdb
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.sql(quality.ORACLE).fetchall()
+    got = quality.op8_quality_rules(spark, sf)
+    assert got.columns == [d[0] for d in con.execute(quality.ORACLE + " LIMIT 0").description]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    rejected = [r for r in want if not r[-1] and not r[-2]]
+    assert rejected                                             # by a certified cutoff alone
+
+
 # ---------------------------------------------------------------- simhash
 def brute_fingerprint(text, k=3):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

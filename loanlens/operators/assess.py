@@ -23,36 +23,44 @@ def assess(model: FittedModel, data: DataFrame, cfg: RunConfig, run: str = "defa
     classifier, the ROC points of both splits. ``overrides`` are the tuned
     parameters the model was fitted with; cross-validation refits with them."""
     name = label_name or model.name
-    scored = score(model, data)
+    rows, roc = assess_scored(score(model, data), name, model.task, model.label, cfg, run, split_col)
+    if cv:
+        metric = "auc" if model.task == CLASSIFIER else "rmse"
+        v = cross_validate(data.where(F.col(split_col) == "train"), model.features, model.label, model.kind, model.task, cfg,
+                           metric, fold_col=fold_col, **(overrides or {}))
+        rows.append((run, name, model.task, "train_cv", metric, v))
+    return rows, roc
+
+
+def assess_scored(scored: DataFrame, name: str, task: str, label: str, cfg: RunConfig, run: str = "default",
+                  split_col: str = "split") -> tuple[list[tuple], DataFrame | None]:
+    """The metrics rows and ROC points of any scored frame."""
     rows: list[tuple] = []
-    roc = None
-    if model.task == CLASSIFIER:
+    if task == CLASSIFIER:
         # one pass over the rows: positives / negatives per (split, score);
         # accuracy (class = score > 0.5), AUC and ROC all come from it
-        counts = reliable_checkpoint(EV.score_counts(scored, model.label, "score", [split_col]))
+        counts = reliable_checkpoint(EV.score_counts(scored, label, "score", [split_col]))
         acc = EV.accuracy_from_counts(counts, "score", by=[split_col]).collect()
-        aucs = EV.auc(None, model.label, "score", by=[split_col], counts=counts).collect()
-        rows += [(run, name, model.task, r[split_col], "accuracy", float(r["accuracy"])) for r in acc]
-        rows += [(run, name, model.task, r[split_col], "auc", float(r["auc"])) for r in aucs]
-        roc = EV.roc_curve(None, model.label, "score", by=[split_col],
-                           drop_intermediate=cfg.drop_intermediate, counts=counts)
-        if cv:
-            train = data.where(F.col(split_col) == "train")
-            v = cross_validate(train, model.features, model.label, model.kind, model.task, cfg,
-                               "auc", fold_col=fold_col, **(overrides or {}))
-            rows.append((run, name, model.task, "train_cv", "auc", v))
+        aucs = EV.auc(None, label, "score", by=[split_col], counts=counts).collect()
+        rows += [(run, name, task, r[split_col], "accuracy", float(r["accuracy"])) for r in acc]
+        rows += [(run, name, task, r[split_col], "auc", float(r["auc"])) for r in aucs]
+        return rows, EV.roc_curve(None, label, "score", by=[split_col],
+                                  drop_intermediate=cfg.drop_intermediate, counts=counts)
+    for r in EV.rmse(scored, label, "score", by=[split_col]).collect():
+        rows += [(run, name, task, r[split_col], m, float(r[m])) for m in ("rmse", "target_mean", "error_ratio")]
+    return rows, None
+
+
+def assess_models(scored: DataFrame, task: str, label: str, run: str = "default", split_col: str = "split") -> list[tuple]:
+    """The metrics rows of several models at once: ``scored`` has their names in ``model``."""
+    by = ["model", split_col]
+    if task == CLASSIFIER:
+        counts = reliable_checkpoint(EV.score_counts(scored, label, "score", by))
+        found = [(r, "accuracy") for r in EV.accuracy_from_counts(counts, "score", by=by).collect()]
+        found += [(r, "auc") for r in EV.auc(None, label, "score", by=by, counts=counts).collect()]
     else:
-        err = EV.rmse(scored, model.label, "score", by=[split_col]).collect()
-        for r in err:
-            rows += [(run, name, model.task, r[split_col], "rmse", float(r["rmse"])),
-                     (run, name, model.task, r[split_col], "target_mean", float(r["target_mean"])),
-                     (run, name, model.task, r[split_col], "error_ratio", float(r["error_ratio"]))]
-        if cv:
-            train = data.where(F.col(split_col) == "train")
-            v = cross_validate(train, model.features, model.label, model.kind, model.task, cfg,
-                               "rmse", fold_col=fold_col, **(overrides or {}))
-            rows.append((run, name, model.task, "train_cv", "rmse", v))
-    return rows, roc
+        found = [(r, m) for r in EV.rmse(scored, label, "score", by=by).collect() for m in ("rmse", "target_mean", "error_ratio")]
+    return [(run, r["model"], task, r[split_col], m, float(r[m])) for r, m in found]
 
 
 def metrics_frame(spark, rows: list[tuple]) -> DataFrame:

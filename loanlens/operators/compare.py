@@ -25,6 +25,15 @@ def label_roc(points: DataFrame, aucs: DataFrame, model: str, by: list[str] = ("
         F.format_string("%s AUC: %.3f", F.lit(model), F.col("auc")).alias("model_auc"))
 
 
+def label_models(points: DataFrame, aucs: DataFrame) -> DataFrame:
+    """``label_roc`` for the curves of several models, named in ``model``."""
+    j = points.join(aucs, on=["model", "split"], how="left")
+    return j.select(
+        "model", "split", "idx", "threshold", "fpr", "tpr", "auc",
+        F.format_string("AUC %s: %.3f", _split_title(), F.col("auc")).alias("label"),
+        F.format_string("%s AUC: %.3f", F.col("model"), F.col("auc")).alias("model_auc"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """SET1: stack frames with the same columns (matched by name)."""
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -161,6 +161,35 @@ def _heldout_scores(df, features, label, fold_col, mean, scale, base, cands, wei
     return df.select(*cols).mapInPandas(part, "cand int, fold int, y int, score double")
 
 
+def _newton(train: DataFrame, features, label, fold_col, mean, scale, chosen, cands, weights, folds, c_inv, max_iter, tol, what):
+    """Newton's method for all candidates and folds together, from ``weights``."""
+    d = len(chosen) + 2
+    # penalty on raw coefficients: w_raw = w_z / s, so diag(1 / s^2) in z space
+    pen = np.zeros((len(cands), d))
+    for ci, c in enumerate(cands):
+        pen[ci, 1:] = c_inv / scale[[*chosen, c]] ** 2
+    for _ in range(max_iter):
+        g, h = _newton_pass(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds)
+        g = g + pen[:, None, :] * weights
+        h = h + pen[:, None, :, None] * np.eye(d)[None, None, :, :]
+        step_w = np.linalg.solve(h, g[..., None])[..., 0]
+        weights = weights - step_w
+        if np.max(np.abs(step_w)) < tol:
+            return weights
+    raise RuntimeError(f"Newton's method did not converge in {max_iter} iterations ({what})")
+
+
+def fold_logistic_scores(train: DataFrame, features: list[str], label: str, fold_col: str = "fold", folds: int = 5,
+                         c_inv: float = 1.0, max_iter: int = 25, tol: float = 1e-6) -> DataFrame:
+    """fold, y, score: every row scored (log odds) by the logistic regression on all features that leaves its fold
+    out; all folds are fitted together, one pass per Newton step."""
+    mean, scale = moments(train, features)
+    base, cands = list(range(len(features) - 1)), [len(features) - 1]
+    weights = _newton(train, features, label, fold_col, mean, scale, base, cands, np.zeros((1, folds, len(features) + 1)),
+                      folds, c_inv, max_iter, tol, "all features")
+    return _heldout_scores(train, features, label, fold_col, mean, scale, base, cands, weights, folds).drop("cand")
+
+
 def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_col: str = "fold",
                       folds: int = 5, max_features: int = 10, c_inv: float = 1.0,
                       max_iter: int = 25, tol: float = 1e-6):
@@ -179,22 +208,8 @@ def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_co
         # warm start: previous step's weights, 0 for the new coefficient
         weights = np.zeros((len(cands), folds, d))
         weights[:, :, : d - 1] = prev_w[None, :, :]
-        # penalty on raw coefficients: w_raw = w_z / s, so diag(1 / s^2) in z space
-        pen = np.zeros((len(cands), d))
-        for ci, c in enumerate(cands):
-            idx = chosen + [c]
-            pen[ci, 1:] = c_inv / scale[idx] ** 2
-        for _ in range(max_iter):
-            g, h = _newton_pass(train, features, label, fold_col, mean, scale, chosen, cands,
-                                weights, folds)
-            g = g + pen[:, None, :] * weights
-            h = h + pen[:, None, :, None] * np.eye(d)[None, None, :, :]
-            step_w = np.linalg.solve(h, g[..., None])[..., 0]
-            weights = weights - step_w
-            if np.max(np.abs(step_w)) < tol:
-                break
-        else:
-            raise RuntimeError(f"Newton's method did not converge in {max_iter} iterations (step {step})")
+        weights = _newton(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds, c_inv, max_iter, tol,
+                          f"step {step}")
         scores = _heldout_scores(train, features, label, fold_col, mean, scale, chosen, cands,
                                  weights, folds)
         aucs = grouped_auc(scores, "y", "score", by=["cand", "fold"]).collect()

@@ -27,7 +27,7 @@ from ..operators import prepare as PR
 from ..operators import profile as P
 from ..operators import select as S
 from ..operators import split as SP
-from ..operators.assess import assess, metrics_frame
+from ..operators.assess import assess, assess_models, metrics_frame
 from ..session import cache, reliable_checkpoint, stored
 from ..sources.sinks import settings_name, write_csv, write_reports
 
@@ -228,38 +228,28 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
             rows += r
             if roc is not None:
                 rocs.append(_labelled(roc, r, short))
-    net_rows, net_rocs = [], []
-    for act in cfg.activations:
-        for hl in cfg.hidden_layers:
-            for do in cfg.dropouts:
-                for task, data, epochs in ((M.CLASSIFIER, cls, cfg.epochs_classifier),
-                                           (M.REGRESSOR, reg, cfg.epochs_regressor)):
-                    scaled = scaler.transform(data)
-                    spec = N.NetSpec(len(use[task]), hl, act, cfg.dropout if do else 0.0, task)
-                    net = N.train(scaled.where("split = 'train'"), use[task], _label(s, task), spec,
-                                  epochs, seed=cfg.seed, mode=net_mode,
-                                  scale_target=cfg.scale_target)
-                    sc = N.score(net, scaled)
-                    name = spec.name(epochs)
-                    if task == M.CLASSIFIER:
-                        counts = reliable_checkpoint(EV.score_counts(sc, s.flag, "score", ["split"]))
-                        aucs = reliable_checkpoint(
-                            EV.auc(None, s.flag, "score", by=["split"], counts=counts))
-                        for r in EV.accuracy_from_counts(counts, "score", by=["split"]).collect():
-                            net_rows.append(("net", name, task, r["split"], "accuracy", float(r["accuracy"])))
-                        for r in aucs.collect():
-                            net_rows.append(("net", name, task, r["split"], "auc", float(r["auc"])))
-                        pts = EV.roc_curve(None, s.flag, "score", by=["split"],
-                                           drop_intermediate=cfg.drop_intermediate, counts=counts)
-                        net_rocs.append(C.label_roc(pts, aucs, name))
-                    else:
-                        for r in EV.rmse(sc, s.amount, "score", by=["split"]).collect():
-                            net_rows += [("net", name, task, r["split"], "rmse", float(r["rmse"])),
-                                         ("net", name, task, r["split"], "error_ratio",
-                                          float(r["error_ratio"]))]
+    net_rows, net_test = [], None
+    for task, data, epochs in ((M.CLASSIFIER, cls, cfg.epochs_classifier), (M.REGRESSOR, reg, cfg.epochs_regressor)):
+        scaled, label = scaler.transform(data), _label(s, task)
+        specs = N.grid_specs(len(use[task]), task, cfg)
+        if not specs:
+            continue
+        # all networks of a task train together and are scored in one pass
+        train = scaled.where("split = 'train'")
+        nets = (N.train_many(train, use[task], label, specs, epochs, seed=cfg.seed, key=s.key, scale_target=cfg.scale_target)
+                if net_mode == "average" else
+                [N.train(train, use[task], label, spec, epochs, seed=cfg.seed, mode=net_mode, key=s.key,
+                         scale_target=cfg.scale_target) for spec in specs])
+        scored = N.score_many(nets, [n.spec.name(epochs) for n in nets], scaled, ["split", label])
+        net_rows += [r for r in assess_models(scored, task, label, "net") if r[4] != "target_mean"]
+        if task == M.CLASSIFIER:
+            by = ["model", "split"]
+            counts = reliable_checkpoint(EV.score_counts(scored.where("split = 'test'"), label, "score", by))
+            net_test = reliable_checkpoint(C.label_models(
+                EV.roc_curve(None, label, "score", by=by, drop_intermediate=cfg.drop_intermediate, counts=counts),
+                EV.auc(None, label, "score", by=by, counts=counts)))
     metrics = metrics_frame(spark, rows + net_rows)
     test_rocs = C.union_all(rocs).where("split = 'test'")
-    net_test = reliable_checkpoint(C.union_all(net_rocs).where("split = 'test'")) if net_rocs else None
     best_net = C.keep_max(net_test, "auc") if net_test is not None else None
     roc_comparison = C.union_missing([test_rocs] + ([best_net] if best_net is not None else []))
     rmse = (metrics.where("metric = 'rmse' AND split = 'test'")

@@ -228,7 +228,7 @@ class _Layout:
         return out
 
     def best(self, h: np.ndarray, c: Chain, stage: int, heap: np.ndarray):
-        """Of each node: feature (-1: none), cut, gain, rows, value, rows and value of the left part."""
+        """Of each node: feature (-1: none), cut, gain, rows and sum, rows and sum of the left part."""
         n, s = h[0], h[1]
         nt, st = n[:, :self.widths[0]].sum(1), s[:, :self.widths[0]].sum(1)
         low = np.zeros((2, len(n), 1))
@@ -249,8 +249,7 @@ class _Layout:
         at = self._first_best(gain)
         rows = np.arange(len(n))
         g = gain[rows, at]
-        return (np.where(g > 0, self.feature[at], -1), self.bin[at], np.maximum(g, 0.0), nt, mean,
-                nl[rows, at], np.divide(sl[rows, at], nl[rows, at], out=np.zeros(len(n)), where=nl[rows, at] > 0))
+        return np.where(g > 0, self.feature[at], -1), self.bin[at], np.maximum(g, 0.0), nt, st, nl[rows, at], sl[rows, at]
 
     @staticmethod
     def _first_best(gain: np.ndarray) -> np.ndarray:
@@ -258,21 +257,19 @@ class _Layout:
         top = gain.max(axis=1)
         return (gain >= (top - np.abs(top) * 1e-10)[:, None]).argmax(axis=1)
 
-    def apply(self, trees: Trees, stage: int, level: int, found, depth: int):
+    def apply(self, trees: Trees, stage: int, level: int, found):
         """Write the splits of a level and the values of its children."""
         heap = np.arange((1 << level) - 1, (2 << level) - 1)
-        feature, cut, gain, rows, value, left_n, left_v = found
-        open_ = (rows > 0) & (feature >= 0) & (trees.rows[stage, heap] > 0 if level else True)
-        trees.value[stage, heap] = np.where(rows > 0, value, trees.value[stage, heap])
+        feature, cut, gain, rows, total, left, left_sum = found
         trees.rows[stage, heap] = np.where(rows > 0, rows, trees.rows[stage, heap])
-        if level == depth:
-            return
+        trees.value[stage, heap] = np.divide(total, rows, out=trees.value[stage, heap].copy(), where=rows > 0)
+        open_ = (rows > 0) & (feature >= 0)
         at = heap[open_]
         trees.feature[stage, at], trees.cut[stage, at], trees.gain[stage, at] = feature[open_], cut[open_], gain[open_]
-        n, v, ln, lv = rows[open_], value[open_], left_n[open_], left_v[open_]
-        trees.rows[stage, 2 * at + 1], trees.rows[stage, 2 * at + 2] = ln, n - ln
-        trees.value[stage, 2 * at + 1] = lv
-        trees.value[stage, 2 * at + 2] = (v * n - lv * ln) / (n - ln)
+        n, s, ln, ls = rows[open_], total[open_], left[open_], left_sum[open_]
+        # from sums: targets of 0 and 1 give exact means
+        for child, count, part in ((2 * at + 1, ln, ls), (2 * at + 2, n - ln, s - ls)):
+            trees.rows[stage, child], trees.value[stage, child] = count, part / count
 
 
 def _grow_alone(x, y, fold, hashes, c: Chain, layout: _Layout) -> Trees:
@@ -293,7 +290,7 @@ def _grow_alone(x, y, fold, hashes, c: Chain, layout: _Layout) -> Trees:
                 break
             part = slice(None) if here.all() else here
             h = layout.histogram(codes[:, part], node[part] - base, nodes, None if w is None else w[part], t[part])
-            layout.apply(trees, stage, level, layout.best(h, c, stage, np.arange(base, base + nodes)), c.depth)
+            layout.apply(trees, stage, level, layout.best(h, c, stage, np.arange(base, base + nodes)))
             node = trees.leaf(x, stage, 1, node)
         if c.stages > 1:
             got = trees.value[stage][node]
@@ -441,7 +438,7 @@ def _pass(state: DataFrame, chains, trees, todo: list[int], at: dict, base: int,
            .applyInArrow(split, "model int, found binary").toArrow().to_pylist())
     for r in got:
         found = np.frombuffer(r["found"]).reshape(7, nodes)
-        layout.apply(trees[r["model"]], stage, level, (found[0].astype(int), found[1].astype(int), *found[2:]), chains[r["model"]].depth)
+        layout.apply(trees[r["model"]], stage, level, (found[0].astype(int), found[1].astype(int), *found[2:]))
     need.unpersist()
 
 
@@ -504,6 +501,18 @@ class HistModel:
         return out / out.sum() if out.sum() > 0 else out
 
 
+def node_table(spark, model: HistModel) -> DataFrame:
+    """EVA8: the nodes of a single tree by heap number (children of i: 2 i + 1 and 2 i + 2); rows up to the
+    threshold go left."""
+    t, inner = model.trees[0], (1 << model.depth) - 1
+    out = []
+    for i in np.flatnonzero(t.rows[0][:2 * inner + 1] > 0).tolist():
+        f = int(t.feature[0, i]) if i < inner else -1
+        out.append((i, model.features[f] if f >= 0 else None, float(model.cuts[f][t.cut[0, i]]) if f >= 0 else None,
+                    int(t.rows[0, i]), float(t.value[0, i]), float(t.gain[0, i]) if f >= 0 else None))
+    return spark.createDataFrame(out, "id long, feature string, threshold double, samples long, value double, gain double")
+
+
 def member(forest: Forest, kind: str, task: str, ids: list[int], depth: int, stages: int) -> HistModel:
     """The model of a grid point and fold, from its chains."""
     b = forest.rows

@@ -16,10 +16,12 @@ from ..operators import split as SP
 from ..operators import trees as T
 from ..operators.assess import assess, assess_models, metrics_frame
 from ..operators.compare import union_all
-from ..operators.tune import cross_validate, tree_search
-from .oracle import r4, with_rf
+from ..operators.tune import cross_validate, tree_point, tree_search
 from .jobs import task_frames
+from .oracle import r4, with_rf
+from .q_prepare import FEATURES, _prep_ctes
 from .registry import RS, register, rf, rounded
+from .tree_sql import bin_ctes, tree_ctes
 
 CFG = RunConfig()
 
@@ -75,13 +77,58 @@ def _model_query(kind, task):
 
 
 for _name, _kind, _task in [
-        ("tree_classifier", "tree", M.CLASSIFIER), ("tree_regressor", "tree", M.REGRESSOR),
         ("forest_classifier", "forest", M.CLASSIFIER), ("forest_regressor", "forest", M.REGRESSOR),
         ("boost_classifier", "boost", M.CLASSIFIER), ("boost_regressor", "boost", M.REGRESSOR),
         ("logistic", "logistic", M.CLASSIFIER), ("linear_regression", "linear", M.REGRESSOR)]:
     register(_name)(_model_query(_kind, _task))
 
 
+# ---- trees at full depth: the histogram trainer's rule is SQL-expressible
+
+def _tree_sql(body: str, task: str, *more: str, depth: int = CFG.max_depth) -> str:
+    """``body`` over the tree ``t`` grown on the prepared training rows of a task."""
+    where = "TRUE" if task == M.CLASSIFIER else "target_amt IS NOT NULL"
+    split = f"CASE WHEN substr(md5('{CFG.seed}' || k), 1, 4) < '{SP.hash_threshold(CFG.test_fraction)}' THEN 'test' ELSE 'train' END"
+    return with_rf(body, *_prep_ctes(),
+                   f"d AS MATERIALIZED (SELECT k, {split} AS split, CAST({label_of(task)} AS DOUBLE) AS y, {', '.join(FEATURES)} FROM prep WHERE {where})",
+                   "y0 AS (SELECT k, y FROM d WHERE split = 'train')", *bin_ctes(FEATURES), *tree_ctes("t", "y0", depth), *more)
+
+
+def _names() -> str:
+    return "['" + "', '".join(FEATURES) + "'][f + 1]"
+
+
+def _fit_tree(spark, sf_dir, task, kind="tree", **point):
+    """Prepared rows of the task and a tree model grown by the histogram trainer on the training rows."""
+    feats, data = model_frame(spark, sf_dir, task)
+    if sorted(feats) != sorted(FEATURES):
+        raise ValueError(f"features {feats} are not those of the oracle")
+    binned = _binned(data.where("split = 'train'"), FEATURES, task)
+    return data, T.search(binned, kind, task, [tree_point(kind, CFG, **point)], folds=0, seed=CFG.seed).model
+
+
+def _metrics_query(task):
+    def q(spark, sf_dir):
+        data, model = _fit_tree(spark, sf_dir, task)
+        scored = model.score(data).withColumn("model", F.lit(model.name))
+        return rounded(metrics_frame(spark, assess_models(scored, task, label_of(task))))
+    q.__name__, q.__doc__ = f"q_tree_{task}", f"Depth-5 tree {task}: metrics on train and test."
+    return q
+
+
+_ROW = "SELECT 'default' AS run, 'tree_{0}' AS model, '{0}' AS task, split, '{1}' AS metric, {2} AS value FROM {3} GROUP BY split"
+_AUC = ("g AS (SELECT split, value AS score, sum(y) AS p, sum(1 - y) AS n FROM t_leaf JOIN d USING (k, split) GROUP BY split, value)",
+        "a AS (SELECT split, p, n, sum(p) OVER (PARTITION BY split ORDER BY score DESC) AS pc, sum(p) OVER (PARTITION BY split) AS pt, "
+        "sum(n) OVER (PARTITION BY split) AS nt FROM g)")
+register("tree_classifier", _tree_sql(" UNION ALL ".join([
+    _ROW.format(M.CLASSIFIER, "accuracy", r4("avg(CASE WHEN (value > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END)"), "t_leaf JOIN d USING (k, split)"),
+    _ROW.format(M.CLASSIFIER, "auc", r4("sum(n * (pc - p / 2)) / (max(pt) * max(nt))"), "a")]), M.CLASSIFIER, *_AUC))(_metrics_query(M.CLASSIFIER))
+register("tree_regressor", _tree_sql(" UNION ALL ".join(
+    _ROW.format(M.REGRESSOR, m, r4(e), "t_leaf JOIN d USING (k, split)") for m, e in (
+        ("rmse", "sqrt(avg(power(y - value, 2)))"), ("target_mean", "avg(y)"),
+        ("error_ratio", "sqrt(avg(power(y - value, 2))) / avg(y)"))), M.REGRESSOR))(_metrics_query(M.REGRESSOR))
+
+
 @register("ols", with_rf(
     f"SELECT {r4('regr_slope(target_amt, loan)', 6)} AS slope, "
     f"{r4('regr_intercept(target_amt, loan)', 4)} AS intercept, count(*) AS n "
@@ -151,20 +198,35 @@ def q_cv_rmse_one_feature(spark, sf_dir):
     return rounded(spark.createDataFrame([(v,)], "cv_rmse double"))
 
 
-@register("score_batch")
+@register("score_batch", _tree_sql(
+    f"SELECT k, split, {r4('value')} AS score, CASE WHEN value > 0.5 THEN 1 ELSE 0 END AS pred FROM t_leaf", M.CLASSIFIER))
 def q_score_batch(spark, sf_dir):
-    """MOD12: every row scored by a fitted tree (key, split, score, class)."""
-    feats, data = model_frame(spark, sf_dir, M.CLASSIFIER)
-    model = M.fit(data.where("split = 'train'"), feats, "target_flag", "tree", M.CLASSIFIER, CFG)
-    return M.score(model, data).select("k", "split", "score", "pred")
+    """MOD12: every row scored by a fitted depth-5 tree (key, split, score, class)."""
+    data, model = _fit_tree(spark, sf_dir, M.CLASSIFIER)
+    return rounded(model.score(data).select("k", "split", "score", "pred"))
 
 
-@register("importance_table")
+@register("importance_table", _tree_sql(
+    f"SELECT 'tree_classifier' AS model, CAST(f AS INTEGER) AS position, {_names()} AS feature, "
+    f"{r4('sum(gain) / (SELECT sum(gain) FROM t_nodes)')} AS importance FROM t_nodes WHERE f IS NOT NULL GROUP BY f", M.CLASSIFIER))
 def q_importance_table(spark, sf_dir):
     """EVA6: positive importances of the depth-5 tree, largest first."""
-    feats, data = model_frame(spark, sf_dir, M.CLASSIFIER)
-    model = M.fit(data.where("split = 'train'"), feats, "target_flag", "tree", M.CLASSIFIER, CFG)
-    return M.importances(model, positive_only=True)
+    _, model = _fit_tree(spark, sf_dir, M.CLASSIFIER)
+    rows = [(model.name, i, f, float(v)) for i, (f, v) in enumerate(zip(FEATURES, model.importances())) if v > 0]
+    rows.sort(key=lambda r: -r[3])
+    return rounded(spark.createDataFrame(rows, "model string, position int, feature string, importance double"))
+
+
+@register("boost_stages_regressor", _tree_sql(
+    f"SELECT k, split, {r4(f't_leaf.value + {CFG.step_size} * u_leaf.value + {CFG.step_size} * w_leaf.value')} AS score "
+    "FROM t_leaf JOIN u_leaf USING (k, split) JOIN w_leaf USING (k, split)", M.REGRESSOR,
+    "y1 AS (SELECT k, 2 * (y - value) AS y FROM t_leaf JOIN d USING (k, split) WHERE split = 'train')", *tree_ctes("u", "y1", 3),
+    f"y2 AS (SELECT k, 2 * (y - (t_leaf.value + {CFG.step_size} * u_leaf.value)) AS y FROM t_leaf JOIN u_leaf USING (k, split) "
+    "JOIN d USING (k, split) WHERE split = 'train')", *tree_ctes("w", "y2", 3), depth=3))
+def q_boost_stages_regressor(spark, sf_dir):
+    """MOD6: every row scored by three boosting stages of depth 3."""
+    data, model = _fit_tree(spark, sf_dir, M.REGRESSOR, "boost", maxIter=3, maxDepth=3)
+    return rounded(model.score(data).select("k", "split", "score"))
 
 
 @register("coefficients")
@@ -180,12 +242,13 @@ def q_coefficients(spark, sf_dir):
     return out
 
 
-@register("tree_nodes")
+@register("tree_nodes", _tree_sql(
+    f"SELECT CAST(node AS BIGINT) AS id, {_names()} AS feature, {r4('cut')} AS threshold, CAST(samples AS BIGINT) AS samples, "
+    f"{r4('value')} AS value, {r4('gain')} AS gain FROM t_nodes", M.CLASSIFIER))
 def q_tree_nodes(spark, sf_dir):
-    """EVA8: node table of the depth-5 classification tree."""
-    feats, data = model_frame(spark, sf_dir, M.CLASSIFIER)
-    model = M.fit(data.where("split = 'train'"), feats, "target_flag", "tree", M.CLASSIFIER, CFG)
-    return M.tree_nodes(model)
+    """EVA8: node table of the depth-5 classification tree, by heap number."""
+    _, model = _fit_tree(spark, sf_dir, M.CLASSIFIER)
+    return rounded(T.node_table(spark, model))
 
 
 def _binned(train, feats, task):

@@ -6,10 +6,15 @@ partitioning, file layout or re-execution after a lost executor.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import prefix_sums
+from .joins import null_safe_join
+
+#: Hex digits of the hash counted in one pass of the exact split, and of a fold's rank bucket.
+SELECT_DIGITS, RANK_DIGITS = 3, 4
 
 
 def key_hash(key: str, seed) -> Column:
@@ -36,36 +41,73 @@ def split_hash(df: DataFrame, key: str, seed=1, test_fraction: float = 0.2,
     return df.withColumn(col, F.when(test, "test").otherwise("train"))
 
 
+def _selected_hash(df: DataFrame, h: Column, n_test, digits: int = SELECT_DIGITS) -> str | None:
+    """The hash of rank ``n_test(rows)`` in ascending order, or a prefix of it that
+    ends the same rows; null when no row is wanted.
+
+    Radix selection: each pass counts the rows by the next ``digits`` hex digits
+    (combined map-side, at most 16 ** digits rows reach the driver) and keeps the one
+    bucket that holds the rank, until a bucket ends on it.
+    """
+    hashes = df.select(h.alias("h"))
+    prefix, wanted = "", None
+    while True:
+        size = len(prefix) + digits
+        counts = sorted(hashes.where(F.col("h").startswith(prefix)).groupBy(
+            F.substring("h", 1, size).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if wanted is None:
+            wanted = n_test(sum(r["n"] for r in counts))
+            if wanted <= 0:
+                return None
+        for r in counts:
+            if r["n"] >= wanted:
+                break
+            wanted -= r["n"]
+        if r["n"] == wanted or len(r["b"]) < size or size >= 32:
+            return r["b"]
+        prefix = r["b"]
+
+
 def split_exact(df: DataFrame, key: str, seed=1, test_fraction: float = 0.2,
-                col: str = "split", partitions: int | None = None) -> DataFrame:
+                col: str = "split") -> DataFrame:
     """PRE8 exact-count mode: the ceil(f * n) rows with the smallest
     md5(seed || key) form the test set (scikit-learn's test size).
 
-    The global rank comes from the range-partitioned prefix sum (DSP1), so no
-    single task sorts the table.
+    Only the hash of the last test row is looked for, by radix selection over the
+    key column; the split itself is then row-local, so no row is shuffled or sorted.
+    ``df`` is scanned about log(n) / log(4096) times for its key: pass a table. Rows
+    that share a key stay together, all of them in the test set if one is; a null key
+    comes before all others.
     """
-    h = df.withColumn("_h", key_hash(key, seed)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = prefix_sums(h, ["_h", key], ["_one"], partitions=partitions)
+    h = F.coalesce(key_hash(key, seed), F.lit(""))
     # guard against float noise in f * n (0.2 * 5960 = 1192.0000000000002)
-    n_test = F.ceil(F.round(F.col("_one_total") * F.lit(float(test_fraction)), 9))
-    return ranked.withColumn(col, F.when(F.col("_one_cum") <= n_test, "test").otherwise("train")) \
-        .drop("_h", "_one", "_one_cum", "_one_total")
+    cut = _selected_hash(df, h, lambda n: math.ceil(round(n * float(test_fraction), 9)))
+    test = F.lit(False) if cut is None else F.substring(h, 1, max(len(cut), 1)) <= F.lit(cut)
+    return df.withColumn(col, F.when(test, "test").otherwise("train"))
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed=1, stratify: str | None = None,
-                 col: str = "fold", partitions: int | None = None) -> DataFrame:
+                 col: str = "fold", digits: int = RANK_DIGITS) -> DataFrame:
     """TUN4: fold numbers 0..k-1.
 
     Stratified (classifier): rows of each class are ranked by md5 and dealt
-    round-robin, so every fold gets the class ratio; the rank is the DSP1
-    prefix sum per class (a class is spread over many range partitions, not
-    one task). Plain (regressor): a row-local md5 bucket.
+    round-robin, so every fold gets the class ratio. A row's rank is the number of its
+    class's rows in lower hash buckets (the first ``digits`` hex digits; one count,
+    combined map-side) plus its place inside its bucket. md5 spreads a class evenly
+    over 16 ** digits buckets, so one exchange by (class, bucket) has no hot task,
+    however large a class is. A null class is a class of its own.
+    Plain (regressor): a row-local md5 bucket.
     """
     h = key_hash(key, f"fold{seed}")
     if stratify is None:
         bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
         return df.withColumn(col, F.pmod(bucket, F.lit(k)).cast("int"))
-    x = df.withColumn("_h", h).withColumn("_one", F.lit(1).cast("long"))
-    ranked = prefix_sums(x, ["_h", key], ["_one"], group=[stratify], partitions=partitions)
-    return (ranked.withColumn(col, F.pmod(F.col("_one_cum") - 1, F.lit(k)).cast("int"))
-            .drop("_h", "_one", "_one_cum", "_one_total"))
+    h = F.coalesce(h, F.lit(""))
+    counts = df.groupBy(stratify, F.substring(h, 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    # at most 16 ** digits rows of a class meet in this window
+    lower = Window.partitionBy(stratify).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(stratify, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_o"))
+    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
+    inside = F.row_number().over(Window.partitionBy(stratify, "_b").orderBy("_h"))
+    ranked = null_safe_join(x, offsets, [stratify, "_b"]).withColumn("_r", inside + F.col("_o") - 1)
+    return ranked.select(*df.columns, F.pmod(F.col("_r"), F.lit(k)).cast("int").alias(col))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import prepare as PR
 from ..operators import profile as P
 from ..operators import split as SP
+from ..session import stored
 from .oracle import r4, with_rf
 from .q_profile import _describe_sql
 from .registry import RS, register, rf, rounded
@@ -139,7 +140,8 @@ def q_split_hash(spark, sf_dir):
     "SELECT k, CASE WHEN row_number() OVER (ORDER BY md5('1' || k), k) <= "
     "ceil(count(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split FROM rf"))
 def q_split_exact(spark, sf_dir):
-    return SP.split_exact(rf(spark, sf_dir).select("k"), "k", SEED)
+    # each counting pass scans the keys: written once, the joins behind them run once
+    return SP.split_exact(stored(rf(spark, sf_dir).select("k"), "keys"), "k", SEED)
 
 
 @register("fold_assign", with_rf(
@@ -148,7 +150,7 @@ def q_split_exact(spark, sf_dir):
     f"FROM rf WHERE NOT ({TEST_SQL})"))
 def q_fold_assign(spark, sf_dir):
     df = SP.split_hash(rf(spark, sf_dir).select("k", "target_flag"), "k", SEED)
-    train = df.where("split = 'train'").drop("split")
+    train = stored(df.where("split = 'train'").drop("split"), "keys")
     return SP.assign_folds(train, "k", 5, SEED, stratify="target_flag")
 
 

@@ -41,11 +41,12 @@ def assess_scored(scored: DataFrame, name: str, task: str, label: str, cfg: RunC
         # accuracy (class = score > 0.5), AUC and ROC all come from it
         counts = reliable_checkpoint(EV.score_counts(scored, label, "score", [split_col]))
         acc = EV.accuracy_from_counts(counts, "score", by=[split_col]).collect()
-        aucs = EV.auc(None, label, "score", by=[split_col], counts=counts).collect()
+        scan = EV.score_scan(counts, "score", [split_col])
+        aucs = EV.auc(None, label, "score", by=[split_col], scan=scan).collect()
         rows += [(run, name, task, r[split_col], "accuracy", float(r["accuracy"])) for r in acc]
         rows += [(run, name, task, r[split_col], "auc", float(r["auc"])) for r in aucs]
         return rows, EV.roc_curve(None, label, "score", by=[split_col],
-                                  drop_intermediate=cfg.drop_intermediate, counts=counts)
+                                  drop_intermediate=cfg.drop_intermediate, scan=scan)
     for r in EV.rmse(scored, label, "score", by=[split_col]).collect():
         rows += [(run, name, task, r[split_col], m, float(r[m])) for m in ("rmse", "target_mean", "error_ratio")]
     return rows, None

@@ -3,7 +3,8 @@
 ROC and AUC need a global order of scores. Rows are first reduced to one row
 per distinct score (combined map-side, so a score shared by a third of the
 rows is one row), then the cumulative counts come from the range-partitioned
-prefix sum of ``prefix.py`` — no single-task window.
+prefix sum of ``prefix.py`` — no single-task window, and one exchange of the
+scores for points and area together.
 """
 
 from __future__ import annotations
@@ -36,9 +37,19 @@ def accuracy_from_counts(counts: DataFrame, score: str, by: list[str] = (),
         F.sum(F.col("p") + F.col("n")).alias("n"))
 
 
+def score_scan(counts: DataFrame, score: str, by: list[str] = (), partitions: int | None = None) -> DataFrame:
+    """The distinct scores in descending order: ``idx`` and ``m`` (place and number of
+    scores), running counts and totals of positives and negatives, and the counts at the
+    next score. ROC points and AUC of one run share it, and with it one exchange."""
+    g = counts.withColumn("_one", F.lit(1).cast("long"))
+    c = prefix_sums(g, [score], ["_one", "p", "n"], group=list(by), descending=True, partitions=partitions,
+                    ahead=["p", "n"])
+    return c.withColumnRenamed("_one_cum", "idx").withColumnRenamed("_one_total", "m")
+
+
 def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = (),
               drop_intermediate: bool = True, partitions: int | None = None,
-              counts: DataFrame | None = None) -> DataFrame:
+              counts: DataFrame | None = None, scan: DataFrame | None = None) -> DataFrame:
     """EVA2: ROC points (scikit-learn ``roc_curve``), one curve per ``by`` group.
 
     Thresholds are the distinct scores in descending order; each point holds
@@ -46,44 +57,43 @@ def roc_curve(df: DataFrame, label: str, score: str, by: list[str] = (),
     with a null threshold. With ``drop_intermediate`` a point is dropped when
     both second differences vanish, which for step counts means the next
     distinct score has the same (positives, negatives) as this one.
+    ``counts`` (``score_counts``) or ``scan`` (``score_scan``) replace ``df``.
     Columns: ``by..., idx, threshold, fpr, tpr``.
     """
     by = list(by)
-    g = counts if counts is not None else score_counts(df, label, score, by)
-    g = g.withColumn("_one", F.lit(1).cast("long"))
-    c = prefix_sums(g, [score], ["_one", "p", "n"], group=by, descending=True,
-                    partitions=partitions)
-    c = c.withColumnRenamed("_one_cum", "idx").withColumnRenamed("_one_total", "m")
+    if scan is None:
+        scan = score_scan(counts if counts is not None else score_counts(df, label, score, by), score, by, partitions)
+    c = scan
     if drop_intermediate:
-        nxt = c.select(*by, (F.col("idx") - 1).alias("idx"),
-                       F.col("p").alias("_p_next"), F.col("n").alias("_n_next"))
-        from .joins import null_safe_join
-        c = null_safe_join(c, nxt, [*by, "idx"], "left")
-        keep = ((F.col("idx") == 1) | (F.col("idx") == F.col("m")) | (F.col("m") <= 2)
-                | (F.col("_p_next") != F.col("p")) | (F.col("_n_next") != F.col("n")))
-        c = c.where(keep)
-    pts = c.select(*by, F.col("idx").cast("long").alias("idx"),
-                   F.col(score).cast("double").alias("threshold"),
-                   (F.col("n_cum") / F.col("n_total")).alias("fpr"),
-                   (F.col("p_cum") / F.col("p_total")).alias("tpr"))
-    origin = (c.select(*by).distinct() if by else
-              c.sparkSession.range(1).select()).select(
-        *by, F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return pts.unionByName(origin)
+        c = c.where((F.col("idx") == 1) | (F.col("idx") == F.col("m")) | (F.col("m") <= 2)
+                    | (F.col("p_next") != F.col("p")) | (F.col("n_next") != F.col("n")))
+    point = F.struct(F.col("idx").cast("long").alias("idx"), F.col(score).cast("double").alias("threshold"),
+                     (F.col("n_cum") / F.col("n_total")).alias("fpr"),
+                     (F.col("p_cum") / F.col("p_total")).alias("tpr"))
+    origin = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
+                      F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    if not by:      # one curve, its origin there without any rows too
+        return c.select(point.alias("_x")).select("_x.*").unionByName(
+            c.sparkSession.range(1).select(origin.alias("_x")).select("_x.*"))
+    # the first point of a curve brings the origin along
+    both = F.when(F.col("idx") == 1, F.array(origin, point)).otherwise(F.array(point))
+    return c.select(*by, F.explode(both).alias("_x")).select(*by, "_x.*")
 
 
 def auc(df: DataFrame, label: str, score: str, by: list[str] = (),
-        partitions: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+        partitions: int | None = None, counts: DataFrame | None = None,
+        scan: DataFrame | None = None) -> DataFrame:
     """EVA3: area under the ROC curve by the trapezoid rule.
 
     Each distinct score adds a trapezoid of width n_s / N and mean height
     (TP_before + p_s / 2) / P, so one aggregate over the prefix sums gives the
-    area; ties count half, as in scikit-learn.
+    area; ties count half, as in scikit-learn. ``counts`` or ``scan`` as in ``roc_curve``.
     """
     by = list(by)
-    g = counts if counts is not None else score_counts(df, label, score, by)
-    c = prefix_sums(g, [score], ["p", "n"], group=by, descending=True, partitions=partitions)
+    c = scan
+    if c is None:
+        g = counts if counts is not None else score_counts(df, label, score, by)
+        c = prefix_sums(g, [score], ["p", "n"], group=by, descending=True, partitions=partitions)
     area = F.sum(F.col("n") * (F.col("p_cum") - F.col("p") / 2.0))
     return c.groupBy(*by).agg(
         F.try_divide(area, F.first("p_total").cast("double") * F.first("n_total").cast("double")).alias("auc"))

@@ -244,10 +244,10 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
         net_rows += [r for r in assess_models(scored, task, label, "net") if r[4] != "target_mean"]
         if task == M.CLASSIFIER:
             by = ["model", "split"]
-            counts = reliable_checkpoint(EV.score_counts(scored.where("split = 'test'"), label, "score", by))
+            scan = EV.score_scan(EV.score_counts(scored.where("split = 'test'"), label, "score", by), "score", by)
             net_test = reliable_checkpoint(C.label_models(
-                EV.roc_curve(None, label, "score", by=by, drop_intermediate=cfg.drop_intermediate, counts=counts),
-                EV.auc(None, label, "score", by=by, counts=counts)))
+                EV.roc_curve(None, label, "score", by=by, drop_intermediate=cfg.drop_intermediate, scan=scan),
+                EV.auc(None, label, "score", by=by, scan=scan)))
     metrics = metrics_frame(spark, rows + net_rows)
     test_rocs = C.union_all(rocs).where("split = 'test'")
     best_net = C.keep_max(net_test, "auc") if net_test is not None else None

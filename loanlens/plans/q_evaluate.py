@@ -134,9 +134,9 @@ def q_error_ratio(spark, sf_dir):
 # ---------------------------------------------------------------- comparison
 
 def _labeled_roc(spark, sf_dir, rule):
-    sc = scored(spark, sf_dir, rule)
-    pts = EV.roc_curve(sc, "y", "s", by=["split"])
-    aucs = EV.auc(sc, "y", "s", by=["split"])
+    scan = EV.score_scan(EV.score_counts(scored(spark, sf_dir, rule), "y", "s", ["split"]), "s", ["split"])
+    pts = EV.roc_curve(None, "y", "s", by=["split"], scan=scan)
+    aucs = EV.auc(None, "y", "s", by=["split"], scan=scan)
     return C.label_roc(pts, aucs, rule)
 
 

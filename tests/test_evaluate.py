@@ -45,3 +45,25 @@ def test_rmse_and_ratio(spark):
     r = EV.rmse(df, "y", "p").first()
     assert r["rmse"] == pytest.approx((0.5) ** 0.5)
     assert r["error_ratio"] == pytest.approx((0.5) ** 0.5 / 2.0)
+
+
+def test_points_and_area_share_one_scan(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(2000).select((F.col("id") % 3).alias("g"), (F.col("id") * 31 % 7 < 3).cast("int").alias("y"),
+                                  (F.col("id") * 17 % 101 / 101).alias("s"))
+    scan = EV.score_scan(EV.score_counts(df, "y", "s", ["g"]), "s", ["g"], partitions=4)
+    key = lambda rows: sorted(map(tuple, rows), key=lambda r: (r[0], r[1]))
+    assert key(EV.roc_curve(None, "y", "s", by=["g"], scan=scan).collect()) == key(
+        EV.roc_curve(df, "y", "s", by=["g"], partitions=1).collect())
+    aucs = {r["g"]: r["auc"] for r in EV.auc(None, "y", "s", by=["g"], scan=scan).collect()}
+    assert aucs == {r["g"]: r["auc"] for r in EV.auc(df, "y", "s", by=["g"]).collect()}
+    empty = df.where("g < 0")
+    assert EV.roc_curve(empty, "y", "s", by=["g"]).count() == 0 and EV.roc_curve(empty, "y", "s").count() == 1
+
+
+def test_null_scores_come_last(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.5), (1, None)], "y int, s double")
+    pts = sorted((r["idx"], r["threshold"]) for r in EV.roc_curve(df, "y", "s", drop_intermediate=False, partitions=3).collect())
+    assert [i for i, _ in pts] == [0, 1, 2, 3] and pts[3][1] is None
+    kept = {r["idx"] for r in EV.roc_curve(df, "y", "s", partitions=3).collect()}
+    assert kept == {0, 1, 2, 3}

@@ -1,6 +1,7 @@
 """DSP1: the range-partitioned prefix sum equals a window sum, skew and
 null groups included."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,13 @@ def test_rows_never_in_single_partition_window(spark):
     out = prefix_sums(df, ["o"], ["v"])
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # the input is written once (checkpoint); the running sum is windowed per
-    # range id, never over all rows in one partition
+    # the sorted rows are written once (checkpoint) and streamed where they lie: the
+    # only exchanges behind it are of totals, one row per range id and group
     assert "hashpartitioning(_pid" in plan
     assert "Scan ExistingRDD" in plan
+    # sorts above the rows' stream would be the second exchange's
+    stream = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in stream[:stream.index("Scan ExistingRDD")]
 
 
 def test_hot_group_spreads_over_ranges(spark):
@@ -53,3 +57,35 @@ def test_hot_group_spreads_over_ranges(spark):
     sizes = [r["count"] for r in ids.groupBy("_pid").count().collect()]
     hot_ranges = ids.where("g = 'hot'").select("_pid").distinct().count()
     assert hot_ranges >= 8 and max(sizes) < 50000 / 4
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_carry_over_batches_and_partitions(spark, descending, partitions):
+    """Sums, totals and next rows against windows, with batches of 7 rows: groups
+    inside a batch, over many batches and partitions; null and NaN groups, null values."""
+    df = spark.range(400).select(
+        F.when(F.col("id") < 200, F.lit(1.5)).when(F.col("id") < 230, F.lit(float("nan")))
+        .when(F.col("id") < 260, F.lit(None)).otherwise((F.col("id") % 40).cast("double")).alias("g"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") * 7 % 401).alias("o"),
+        F.col("id").alias("k"), F.when(F.col("id") % 6 > 0, F.col("id") % 5).alias("v"), (F.col("id") / 4).alias("d"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = prefix_sums(df, ["o", "k"], ["v", "d"], group=["g"], descending=descending, partitions=partitions,
+                          ahead=["v", "d"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in ("o", "k")]
+    w = Window.partitionBy("g").orderBy(*order)
+    v = F.coalesce("v", F.lit(0))
+    want = df.select("k", F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v_cum"),
+                     F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("d_cum"),
+                     F.sum("v").over(Window.partitionBy("g")).alias("v_total"),
+                     F.lead(v).over(w).alias("v_next"), F.lead("d").over(w).alias("d_next")).collect()
+    names = ["v_cum", "d_cum", "v_total", "v_next", "d_next"]
+    assert {r["k"]: [r[c] for c in names] for r in got} == {r["k"]: [r[c] for c in names] for r in want}
+
+
+def test_empty_frame(spark):
+    out = prefix_sums(spark.range(0).withColumn("g", F.lit("a")), ["id"], ["id"], group=["g"], ahead=["id"])
+    assert out.columns == ["id", "g", "id_cum", "id_total", "id_next"] and out.count() == 0

@@ -15,6 +15,8 @@ folder and every fit scans it.
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from ..operators import select as S
 from ..operators import split as SP
 from ..operators.assess import assess, assess_models, metrics_frame
 from ..session import cache, reliable_checkpoint, stored
-from ..sources.sinks import settings_name, write_csv, write_reports
+from ..sources.sinks import settings_name, write_csv, write_run
 
 
 def profile_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
@@ -58,7 +60,7 @@ def profile_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
         "corr_with_flag_by_segment": P.corr_with_flag(base, s, by=cats),
     }
     if out:
-        write_reports(tables, out)
+        write_run(tables, out, "profile", cfg)
         base.unpersist()
     return tables
 
@@ -151,7 +153,7 @@ def fit_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
     if nodes:
         tables["tree_nodes"] = C.union_all(nodes)
     if out:
-        write_reports(tables, out)
+        write_run(tables, out, "fit", {**asdict(cfg), "kinds": list(kinds), "tuned": grid, "cv": cv})
     return tables
 
 
@@ -196,7 +198,7 @@ def linear_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
               "selections": spark.createDataFrame(
                   chosen_rows, "task string, selection string, position int, feature string")}
     if out:
-        write_reports(tables, out)
+        write_run(tables, out, "linear", cfg)
     return tables
 
 
@@ -259,7 +261,7 @@ def compare_job(df: DataFrame, s: RiskSchema, cfg: RunConfig = RunConfig(),
     if net_test is not None:
         tables["network_roc_comparison"] = net_test
     if out:
-        write_reports(tables, out)
+        write_run(tables, out, "compare", {**asdict(cfg), "var_model": var_model, "net_mode": net_mode, "cv": cv})
         write_csv(tables["rmse_comparison"], out, settings_name(
             "RMSE-Comparison", epochs=cfg.epochs_regressor, var=var_model or "All",
             seed=cfg.seed, max_depth=cfg.max_depth, thresh=cfg.feature_thresh_dl))

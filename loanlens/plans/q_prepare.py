@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import prepare as PR
 from ..operators import profile as P
 from ..operators import split as SP
-from ..session import stored
+from ..session import checkpoint_dir, stored
+from ..sources.sinks import read_runs, write_run
 from .oracle import r4, with_rf
 from .q_profile import _describe_sql
 from .registry import RS, register, rf, rounded
@@ -154,6 +157,23 @@ def q_fold_assign(spark, sf_dir):
     return SP.assign_folds(train, "k", 5, SEED, stratify="target_flag")
 
 
+CAPS = [25_000.0, 10_000.0]
+
+
+@register("run_reports", with_rf(" UNION ALL ".join(
+    f"SELECT '{c}' AS cap, reason, job, {r4('avg(target_flag)')} AS default_mean, "
+    f"{r4(f'avg(CASE WHEN target_amt > {c} THEN {c} ELSE target_amt END)')} AS loss_mean, "
+    f"{r4(f'avg(target_flag) * avg(CASE WHEN target_amt > {c} THEN {c} ELSE target_amt END)')} AS expected_loss "
+    "FROM rf WHERE reason IS NOT NULL AND job IS NOT NULL GROUP BY reason, job" for c in CAPS)))
+def q_run_reports(spark, sf_dir):
+    """SNK2: the loss reports of runs with two caps in one folder, the first run written
+    again, read side by side."""
+    df, root = rf(spark, sf_dir), f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    for cap in [*CAPS, CAPS[0]]:
+        write_run({"expected_loss": P.expected_loss(PR.cap_amount(df, "target_amt", cap), RS)}, root, "profile", {"cap": cap})
+    return rounded(read_runs(spark, root, "expected_loss", ["cap"]).drop("run_id"))
+
+
 def _minmax_sql() -> str:
     mm = ("mm AS (SELECT " + ", ".join(
         f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in FEATURES)

@@ -16,7 +16,7 @@ SMALL = RunConfig(num_trees=5, boost_iters=3, epochs_classifier=2, epochs_regres
 def test_profile_job_writes_tables(spark):
     out = tempfile.mkdtemp()
     tables = jobs.profile_job(risk_frame(spark, SF001), S, SMALL, out=out)
-    assert set(os.listdir(out)) == set(tables)
+    assert set(os.listdir(out)) == {*tables, "manifest"}
     assert spark.read.parquet(os.path.join(out, "expected_loss")).count() == 10
 
 

@@ -3,8 +3,12 @@
 import os
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from loanlens.sources.frames import read_loans_csv
-from loanlens.sources.sinks import settings_name, write_csv, write_reports
+from loanlens.config import RunConfig
+from loanlens.sources.sinks import read_runs, run_id, runs, settings_name, write_csv, write_reports, write_run
 
 HEADER = ("TARGET_BAD_FLAG,TARGET_LOSS_AMT,LOAN,MORTDUE,VALUE,REASON,JOB,YOJ,DEROG,DELINQ,"
           "CLAGE,NINQ,CLNO,DEBTINC")
@@ -45,7 +49,6 @@ def test_sinks_round_trip(spark):
 
 def test_csv_reads_numbers_and_missing_tokens_as_pandas(spark, tmp_path):
     import pandas as pd
-    import pytest
     lines = ["1,641,1100.0,25860,39025,NaN,NA,10.5,0,0,94.366667,1,9,n/a",
              "0,null,1300, 70053,<NA>,HomeImp,None,7,0,2,-1e3,0,14,NULL"]
     p = tmp_path / "loans.csv"
@@ -60,3 +63,37 @@ def test_csv_reads_numbers_and_missing_tokens_as_pandas(spark, tmp_path):
         p.write_text(HEADER + "\n" + bad + "\n")
         with pytest.raises(Exception, match="malformed number in LOAN"):
             read_loans_csv(spark, str(p)).collect()
+
+
+def _table(spark, *rows):
+    return spark.createDataFrame(list(rows), "run string, value double")
+
+
+def test_runs_stay_side_by_side(spark, tmp_path):
+    root = str(tmp_path)
+    one, two = RunConfig(seed=1), RunConfig(seed=2)
+    a = write_run({"metrics": _table(spark, ("x", 1.0)), "nodes": _table(spark, ("n", 0.0))}, root, "fit", one)
+    b = write_run({"metrics": _table(spark, ("x", 2.0)).withColumn("extra", F.lit(1))}, root, "fit", two)
+    c = write_run({"metrics": _table(spark, ("x", 3.0))}, root, "compare", one)
+    assert len({a, b, c}) == 3 and a == run_id("fit", RunConfig(seed=1))[0]
+    got = {(r["run_id"], r["value"], r["extra"], r["seed"]) for r in read_runs(spark, root, "metrics", ["seed"]).collect()}
+    assert got == {(a, 1.0, None, "1"), (b, 2.0, 1, "2"), (c, 3.0, None, "1")}
+    # a run written again replaces its own reports alone, and drops those it has no more
+    assert write_run({"metrics": _table(spark, ("x", 9.0), ("y", 8.0))}, root, "fit", RunConfig(seed=1)) == a
+    got = {(r["run_id"], r["value"]) for r in read_runs(spark, root, "metrics").collect()}
+    assert got == {(a, 9.0), (a, 8.0), (b, 2.0), (c, 3.0)}
+    assert {(r["run_id"], r["report"]) for r in runs(spark, root).collect()} == {(a, "metrics"), (b, "metrics"), (c, "metrics")}
+    with pytest.raises(ValueError, match="no run"):
+        read_runs(spark, root, "nodes")
+
+
+def test_failed_run_is_never_seen(spark, tmp_path):
+    root = str(tmp_path)
+    a = write_run({"metrics": _table(spark, ("x", 1.0))}, root, "fit", {"cap": 1})
+    fails = _table(spark, ("x", 2.0)).withColumn("value", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        write_run({"metrics": _table(spark, ("x", 5.0)), "nodes": fails}, root, "fit", {"cap": 1})
+    assert [(r["run_id"], r["value"]) for r in read_runs(spark, root, "metrics").collect()] == [(a, 1.0)]
+    # an empty report is a report: the run's earlier rows are gone
+    write_run({"metrics": _table(spark, ("x", 1.0)).where("value < 0")}, root, "fit", {"cap": 1})
+    assert read_runs(spark, root, "metrics").count() == 0

@@ -4,10 +4,14 @@ Tokens are lower-cased words and one end per text. Every word of every learning
 document is counted. The ``MODEL`` most frequent words (end included) are tokens
 of the neural model; the others belong to one of ``CLASSES`` classes by their last
 characters. The model predicts a token from the two before it: q = C1 r1 + C2 r2,
-s(w) = q t_w + b_w. It is trained in numpy by noise-contrastive estimation: every
-partition trains on its own texts from the same weights, the weights are averaged
-by tokens, ``ROUNDS`` times over disjoint parts of the corpus, so that each learning document
-is used once. Normalisers of all context pairs come from one matrix product, as
+s(w) = q t_w + b_w. It is trained in numpy by noise-contrastive estimation: the learning
+documents are dealt by a hash of their id and text to blocks of about ``BLOCK`` tokens, the
+blocks to rounds (two, and one more for each doubling of the blocks). The blocks of a round
+train from the same weights, and their weights are averaged by tokens, so that each learning
+document is used once. A block is read in the order of the hashes and draws its noise by
+its number: the model does not depend on files, partitions or cores. Repeated rows get
+successive numbers in the hash, so that they spread over the blocks; a block is streamed,
+its size is never held. Normalisers of all context pairs come from one matrix product, as
 exp(s) factors into exp(r1 C1 t) exp(r2 C2 t + b). A word of a class adds its share in
 the class: (count + 1) / (class total + distinct words + 1).
 
@@ -31,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import held_out, read_table, table, text_of
 
 MODEL, CLASSES, HEAD, WORD_BYTES = 1024, 64, 200_000, 64
-DIM, NOISE, BATCH, RATE, ROUNDS = 16, 64, 4096, 0.1, 2
+DIM, NOISE, BATCH, RATE, BLOCK = 16, 64, 4096, 0.1, 1 << 18
+CHUNK = 16 * BATCH      # tokens of a block in hand
 END = b""
 FLUSH, SLICE = 300_000, 400
 
@@ -135,6 +141,11 @@ class LogBilinear:
         self.b = np.log(noise)
         self.noise = noise
 
+    def copy(self) -> LogBilinear:
+        own = LogBilinear.__new__(LogBilinear)
+        own.__dict__ = {k: v.copy() for k, v in self.__dict__.items()}
+        return own
+
     def step(self, one, two, w, draws, squares):
         """One update by noise-contrastive estimation, the noise shared in the batch."""
         k, n = len(draws), len(w)
@@ -176,49 +187,97 @@ def _rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, j], n) for j in range(values.shape[1])], 1)
 
 
-def train(learn: DataFrame, shared, model: LogBilinear, rounds: int = ROUNDS) -> LogBilinear:
+def deal(learn: DataFrame, shared, blocks: int, rounds: int) -> DataFrame:
+    """round, block, key and model tokens (16 bits each) of every learning text, as a table."""
+    def run(batches):
+        vocabulary, repeats = shared.value, Counter()
+        for b in batches:
+            texts = b.column(1).cast(pa.binary())
+            for lo in range(0, b.num_rows, SLICE):
+                _, token, lengths, _ = vocabulary.split(texts.slice(lo, SLICE).to_pylist())
+                keys = []
+                for k in b.column(0).slice(lo, SLICE).to_pylist():
+                    n = repeats[k]
+                    repeats[k] += 1
+                    keys.append(xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), n))
+                if len(repeats) > FLUSH:
+                    repeats.clear()
+                at = np.cumsum(lengths) - lengths
+                token = token.astype("<u2")
+                block = np.array(keys, np.uint64) % np.uint64(blocks)
+                yield pa.record_batch([
+                    pa.array((block % np.uint64(rounds)).astype(np.int32)), pa.array(block.astype(np.int64)),
+                    pa.array(np.array(keys, np.uint64).view(np.int64)),
+                    pa.array([token[i:i + n].tobytes() for i, n in zip(at, lengths)], pa.binary())],
+                    ["round", "block", "key", "tokens"])
+
+    rows = learn.select(F.xxhash64("doc_id", "text_hash").alias("key"), "text").mapInArrow(
+        run, "round int, block long, key long, tokens binary")
+    return stored(rows.repartition("round", "block"), "lm-blocks", "round")
+
+
+def train(learn: DataFrame, shared, model: LogBilinear, n_tokens: int, block: int = BLOCK) -> LogBilinear:
     """Data-parallel training; the driver holds only the averaged weights, whose size
     is set by the vocabulary and dimension."""
+    if not n_tokens:
+        return model
     spark = learn.sparkSession
+    blocks = -(-n_tokens // block)
+    rounds = min(blocks, 1 + blocks.bit_length())
+    dealt = deal(learn, shared, blocks, rounds)
+    tasks = min(-(-blocks // rounds), max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                          spark.sparkContext.defaultParallelism))
+    dim = model.r.shape[1]
     for r in range(rounds):
         weights = spark.sparkContext.broadcast(model)
 
         def run(batches, r=r, weights=weights):
-            vocabulary, own, squares, seen = shared.value, None, {}, 0
-            for b in batches:
-                texts = b.column(0).cast(pa.binary())
-                for lo in range(0, b.num_rows, SLICE):
-                    if own is None:
-                        m = weights.value
-                        own = LogBilinear.__new__(LogBilinear)
-                        own.__dict__ = {k: v.copy() for k, v in m.__dict__.items()}
-                        rng = np.random.default_rng([r, TaskContext.get().partitionId()])
-                        draw = np.cumsum(own.noise)
-                    _, token, lengths, _ = vocabulary.split(texts.slice(lo, SLICE).to_pylist())
-                    one, two, w, _ = vocabulary.sequences(token, lengths)
-                    for s in range(0, len(w), BATCH):
-                        part = slice(s, s + BATCH)
-                        draws = np.searchsorted(draw, rng.random(NOISE) * draw[-1])
-                        own.step(one[part], two[part], w[part], np.minimum(draws, len(draw) - 1), squares)
-                        seen += len(w[part])
-            if own is not None:
+            vocabulary, noise = shared.value, np.cumsum(weights.value.noise)
+            own, squares, rng, current, seen, held, size = None, {}, None, None, 0, [], 0
+
+            def learn_held():
+                nonlocal seen, held, size
+                if not held:
+                    return
+                lengths = np.array([len(t) for t in held], np.int64)
+                one, two, w, _ = vocabulary.sequences(np.concatenate(held).astype(np.int64), lengths)
+                for s in range(0, len(w), BATCH):
+                    part = slice(s, s + BATCH)
+                    draws = np.searchsorted(noise, rng.random(NOISE) * noise[-1])
+                    own.step(one[part], two[part], w[part], np.minimum(draws, len(noise) - 1), squares)
+                seen += len(w)
+                held, size = [], 0
+
+            def finished():
+                learn_held()
                 names, rows, ws, vs = zip(*own.rows(float(seen)))
-                yield pa.record_batch([pa.array(names), pa.array(rows, pa.int32()), pa.array(ws), pa.array(
+                return pa.record_batch([pa.array(names), pa.array(rows, pa.int32()), pa.array(ws), pa.array(
                     vs, pa.list_(pa.float64()))], ["name", "row", "weight", "v"])
 
-        own = learn.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(rounds)) == r).select("text")
+            for b in batches:
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if k != current:
+                        if own is not None:
+                            yield finished()
+                        own, squares, rng, current, seen = weights.value.copy(), {}, np.random.default_rng([r, k]), k, 0
+                    held.append(np.frombuffer(t, "<u2"))
+                    size += len(held[-1]) + 1
+                    if size >= CHUNK:
+                        learn_held()
+            if own is not None:
+                yield finished()
+
+        own = (dealt.where(F.col("round") == r).select("block", "tokens", "key").repartition(tasks, "block")
+               .sortWithinPartitions("block", "key").select("block", "tokens"))
         parts = own.mapInArrow(run, "name string, row int, weight double, v array<double>")
-        dim = model.r.shape[1]
         # vectors are summed by place on the cluster
         found = parts.groupBy("name", "row").agg(
             F.sum("weight").alias("w"), *[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(dim + 1)])
-        new = LogBilinear.__new__(LogBilinear)
-        new.__dict__ = {k: v.copy() for k, v in model.__dict__.items()}
+        model = model.copy()
         for x in found.toArrow().to_pylist():
-            getattr(new, x["name"])[x["row"]] = [x[f"v{j}"] / x["w"] for j in range(dim)]
+            getattr(model, x["name"])[x["row"]] = [x[f"v{j}"] / x["w"] for j in range(dim)]
             if x["name"] == "t":
-                new.b[x["row"]] = x[f"v{dim}"] / x["w"]
-        model = new
+                model.b[x["row"]] = x[f"v{dim}"] / x["w"]
     return model
 
 
@@ -303,7 +362,7 @@ def _score(shared, weights):
     return run
 
 
-def score_texts(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", 7, 2).alias("held_out"),
                        text_of().alias("text"))
@@ -314,7 +373,7 @@ def score_texts(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Data
     vocabulary = fit_vocabulary(counts, head)
     shared = sc.broadcast(vocabulary)
     noise = np.concatenate([vocabulary.model_counts, vocabulary.of_class]) + 1
-    model = train(learn, shared, LogBilinear(vocabulary.size, noise / noise.sum()), rounds)
+    model = train(learn, shared, LogBilinear(vocabulary.size, noise / noise.sum()), size["n"], block)
     scored = rows.mapInArrow(_score(shared, sc.broadcast(model)), SCORED)
     met = scored.join(counts, "word", "left").withColumn(
         "more", F.when(F.col("c").isNotNull(), F.col("tf") * F.log10(F.col("c") + 1)).otherwise(0.0))

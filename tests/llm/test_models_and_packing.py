@@ -113,6 +113,18 @@ def test_lm_is_normalised_and_learns():
     assert before == pytest.approx(-math.log(30), abs=0.2) and mean_log() > -1.5
 
 
+def test_lm_does_not_depend_on_the_layout(spark):
+    """Equal scores from 2 and 16 partitions, with several blocks in several rounds; repeated
+    rows spread over the blocks."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    two, many = ({r["doc_id"]: r["score"] for r in lm.score_texts(d.repartition(n), block=8192).collect()} for n in (2, 16))
+    assert two.keys() == many.keys() and all(abs(two[k] - many[k]) <= 1e-6 * abs(two[k]) for k in two)
+    same = d.limit(1).crossJoin(spark.range(600)).select("doc_id", "text", F.lit(0).alias("text_hash"))
+    shared = spark.sparkContext.broadcast(lm.Vocabulary([lm.END], np.array([1])))
+    sizes = [r["count"] for r in lm.deal(same, shared, 6, 2).groupBy("block").count().collect()]
+    assert len(sizes) == 6 and sum(sizes) == 600 and max(sizes) < 200
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     rows = lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     s = rows.agg(F.sum("score"), F.sum("base_score")).first()

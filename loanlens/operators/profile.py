@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..config import RiskSchema
 from ..functions.stats import kurtosis_unbiased, pearson, skewness_unbiased, stack_expr
-from .joins import null_safe_join
 from .quantiles import grouped_quantiles
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
@@ -42,24 +41,20 @@ def describe(df: DataFrame, cols: list[str], by: list[str] = (),
     """AGG2-AGG5: pandas ``describe`` per column (and per ``by`` group, null
     groups kept): count, mean, std (n-1), min, quartiles (linear), max."""
     by = list(by)
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.max(x).alias(f"{c}__max")]
     probs, qnames = [0.25, 0.5, 0.75], ["q25", "q50", "q75"]
     if method == "distributed":
-        wide = df.groupBy(*by).agg(*aggs)
-        items = [(c, [f"{c}__{s}" for s in ("count", "mean", "std", "min", "max")]) for c in cols]
-        moments = wide.select(*by, stack_expr(items, ["column_name", "count", "mean", "std",
-                                                      "min", "max"]))
-        q = grouped_quantiles(df, by, cols, probs, qnames, method="distributed")
-        q = q.withColumnRenamed("column", "column_name")
-        out = null_safe_join(moments, q, by + ["column_name"], "left")
+        out = grouped_quantiles(df, by, cols, probs, qnames, moments=True).withColumnRenamed("column", "column_name")
+        if not by:      # a table without rows has its columns all the same
+            names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+            out = names.join(out, "column_name", "left").fillna(0, ["count"])
     else:
         from .quantiles import quantile_exprs
+        aggs = []
         for c in cols:
+            x = F.col(c).cast("double")
+            aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+                     F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
+                     F.max(x).alias(f"{c}__max")]
             for e, n in zip(quantile_exprs(c, probs, method, accuracy), qnames):
                 aggs.append(e.alias(f"{c}__{n}"))
         wide = df.groupBy(*by).agg(*aggs)

@@ -9,16 +9,18 @@ passes over the data does not grow with candidates x folds:
   and held-out error is then a small solve on the driver.
 * Logistic: all candidate x fold models of one step are fitted together by
   Newton's method; each iteration is one ``mapInPandas`` pass summing
-  gradients and Hessians of every model, added up by a grouped sum. One more
-  pass emits held-out scores, and one grouped AUC (range-partitioned prefix
-  sums, grouped by candidate and fold) scores them all.
+  gradients and Hessians of the models that still move, added up by a grouped
+  sum. One more pass counts the held-out scores of every model in fixed bins,
+  which bound its AUC from below and above. Only candidates whose upper bound
+  reaches the best lower bound have their scores written out, sorted (range-partitioned
+  prefix sums, grouped by candidate and fold) and compared exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -26,6 +28,9 @@ from .evaluate import auc as grouped_auc
 from .linear import cv_rmse, fold_grams, moments
 from .models import FittedModel, fit
 
+#: Bins of a model's held-out scores; more bins give closer bounds and more rows to add up.
+SCORE_BINS = 4096
+
 TRACE_SCHEMA = ("step int, features array<string>, added string, avg_score double, "
                 "std_score double")
 
@@ -162,23 +167,106 @@ def _heldout_scores(df, features, label, fold_col, mean, scale, base, cands, wei
 
 
 def _newton(train: DataFrame, features, label, fold_col, mean, scale, chosen, cands, weights, folds, c_inv, max_iter, tol, what):
-    """Newton's method for all candidates and folds together, from ``weights``."""
+    """Newton's method for all candidates and folds together, from ``weights``; a
+    candidate whose weights no longer move in any fold leaves the passes."""
     d = len(chosen) + 2
     # penalty on raw coefficients: w_raw = w_z / s, so diag(1 / s^2) in z space
     pen = np.zeros((len(cands), d))
     for ci, c in enumerate(cands):
         pen[ci, 1:] = c_inv / scale[[*chosen, c]] ** 2
+    weights, moving = weights.copy(), np.arange(len(cands))
     for _ in range(max_iter):
-        g, h = _newton_pass(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds)
-        g = g + pen[:, None, :] * weights
-        h = h + pen[:, None, :, None] * np.eye(d)[None, None, :, :]
+        w, q = weights[moving], pen[moving]
+        g, h = _newton_pass(train, features, label, fold_col, mean, scale, chosen, [cands[i] for i in moving], w, folds)
+        g = g + q[:, None, :] * w
+        h = h + q[:, None, :, None] * np.eye(d)[None, None, :, :]
         step_w = np.linalg.solve(h, g[..., None])[..., 0]
-        weights = weights - step_w
-        if np.max(np.abs(step_w)) < tol:
+        weights[moving] = w - step_w
+        moving = moving[np.abs(step_w).max(axis=(1, 2)) >= tol]
+        if not len(moving):
             return weights
     raise RuntimeError(f"Newton's method did not converge in {max_iter} iterations ({what})")
 
 
+def _score_bins(df, features, label, fold_col, mean, scale, base, cands, weights, folds, bins) -> DataFrame:
+    """cand, fold, bin, p, n, lo, hi: positives, negatives, smallest and largest held-out score of
+    each bin. Bins are of equal width on a logistic curve about the mean log odds (the intercept, as
+    features are standardised), scaled by the spread that independent features would give. The curve
+    decides how close the bounds are, never whether they hold."""
+    cols = list(features) + [label, fold_col]
+    base = list(base)
+
+    def part(it):
+        acc = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            z = (pdf[features].to_numpy(dtype=float) - mean) / scale
+            y = pdf[label].to_numpy(dtype=float)
+            f = pdf[fold_col].to_numpy().astype("int64")
+            xb = np.column_stack([np.ones(len(pdf)), z[:, base]])
+            for ci, c in enumerate(cands):
+                w = weights[ci]
+                eta = np.einsum("ni,ni->n", np.column_stack([xb, z[:, c]]), w[f])
+                spread = np.maximum(np.sqrt((w[:, 1:] ** 2).sum(axis=1)), 1e-12)
+                place = _sigmoid(1.7 * (eta - w[f, 0]) / spread[f])
+                cell = f * bins + np.minimum((place * bins).astype("int64"), bins - 1)
+                if ci not in acc:
+                    acc[ci] = [np.zeros(folds * bins), np.zeros(folds * bins),
+                               np.full(folds * bins, np.inf), np.full(folds * bins, -np.inf)]
+                p, n, lo, hi = acc[ci]
+                p += np.bincount(cell, y, folds * bins)
+                n += np.bincount(cell, 1 - y, folds * bins)
+                np.minimum.at(lo, cell, eta)
+                np.maximum.at(hi, cell, eta)
+        for ci, (p, n, lo, hi) in acc.items():
+            at = np.flatnonzero(p + n)
+            yield pd.DataFrame({"cand": np.full(len(at), ci, dtype="int32"), "fold": (at // bins).astype("int32"),
+                                "bin": (at % bins).astype("int32"), "p": p[at].astype("int64"),
+                                "n": n[at].astype("int64"), "lo": lo[at], "hi": hi[at]})
+
+    long = df.select(*cols).mapInPandas(part, "cand int, fold int, bin int, p long, n long, lo double, hi double")
+    return long.groupBy("cand", "fold", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"),
+                                                   F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def auc_bounds(binned: DataFrame) -> DataFrame:
+    """cand, fold, lower, upper: bounds of the AUC from score bins. Pairs of different bins
+    are in known order; pairs of one bin count nothing or all, and half where the bin holds one
+    score. Null where a fold holds one class only."""
+    model = Window.partitionBy("cand", "fold")      # at most as many rows as bins
+    before = model.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    lower_n = F.coalesce(F.sum(n).over(before), F.lit(0.0))
+    one = F.col("lo") == F.col("hi")
+    pairs = binned.select("cand", "fold", p.alias("p"), n.alias("n"),
+                          (p * lower_n + F.when(one, p * n / 2).otherwise(0.0)).alias("least"),
+                          F.when(one, 0.0).otherwise(p * n).alias("open"))
+    total = F.sum("p") * F.sum("n")
+    return pairs.groupBy("cand", "fold").agg(
+        F.try_divide(F.sum("least"), total).alias("lower"),
+        F.try_divide(F.sum("least") + F.sum("open"), total).alias("upper"))
+
+
+def _per_model(rows, size, folds, name) -> np.ndarray:
+    out = np.full((size, folds), np.nan)
+    for r in rows:
+        if r[name] is not None:
+            out[r["cand"], r["fold"]] = r[name]
+    if np.isnan(out).any():
+        raise ValueError("a fold holds one class only; its AUC is undefined")
+    return out
+
+
+def contenders(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds, bins=SCORE_BINS) -> list[int]:
+    """Places in ``cands`` that can still have the highest mean AUC of their folds."""
+    rows = auc_bounds(_score_bins(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds, bins)).collect()
+    lower = _per_model(rows, len(cands), folds, "lower").mean(axis=1)
+    upper = _per_model(rows, len(cands), folds, "upper").mean(axis=1)
+    # equal scores of two candidates are summed in different orders
+    return [int(i) for i in np.flatnonzero(upper >= lower.max() - 1e-9)]
+
+
 def fold_logistic_scores(train: DataFrame, features: list[str], label: str, fold_col: str = "fold", folds: int = 5,
                          c_inv: float = 1.0, max_iter: int = 25, tol: float = 1e-6) -> DataFrame:
     """fold, y, score: every row scored (log odds) by the logistic regression on all features that leaves its fold
@@ -192,12 +280,13 @@ def fold_logistic_scores(train: DataFrame, features: list[str], label: str, fold
 
 def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_col: str = "fold",
                       folds: int = 5, max_features: int = 10, c_inv: float = 1.0,
-                      max_iter: int = 25, tol: float = 1e-6):
+                      max_iter: int = 25, tol: float = 1e-6, bins: int = SCORE_BINS):
     """Forward selection for L2 logistic regression (scikit-learn's C = 1 on
     raw features), each candidate scored by mean held-out AUC. Newton stops
     when no standardised weight moves by more than ``tol`` (Newton converges
     quadratically; scikit-learn's own solver stops at a gradient tolerance
-    of 1e-4)."""
+    of 1e-4). The choice does not depend on ``bins``, which only decide how many
+    candidates are left for the exact comparison."""
     mean, scale = moments(train, features)
     chosen: list[int] = []
     prev_w = np.zeros((folds, 1))             # intercept only
@@ -210,20 +299,17 @@ def stepwise_logistic(train: DataFrame, features: list[str], label: str, fold_co
         weights[:, :, : d - 1] = prev_w[None, :, :]
         weights = _newton(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds, c_inv, max_iter, tol,
                           f"step {step}")
-        scores = _heldout_scores(train, features, label, fold_col, mean, scale, chosen, cands,
-                                 weights, folds)
-        aucs = grouped_auc(scores, "y", "score", by=["cand", "fold"]).collect()
-        per = np.full((len(cands), folds), np.nan)
-        for r in aucs:
-            per[r["cand"], r["fold"]] = r["auc"]
-        if np.isnan(per).any():
-            raise ValueError("a fold holds one class only; its AUC is undefined")
+        left = contenders(train, features, label, fold_col, mean, scale, chosen, cands, weights, folds, bins)
+        scores = _heldout_scores(train, features, label, fold_col, mean, scale, chosen, [cands[i] for i in left],
+                                 weights[left], folds)
+        per = _per_model(grouped_auc(scores, "y", "score", by=["cand", "fold"]).collect(), len(left), folds, "auc")
         avg = per.mean(axis=1)
-        best = int(avg.argmax())
+        top = int(avg.argmax())
+        best = left[top]
         chosen.append(cands[best])
         prev_w = weights[best]
         trace.append((step, [features[c] for c in chosen], features[cands[best]],
-                      float(avg[best]), float(per[best].std())))
+                      float(avg[top]), float(per[top].std())))
     top = max(range(len(trace)), key=lambda i: (trace[i][3], -i))
     return list(trace[top][1]), trace
 

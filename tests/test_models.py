@@ -85,6 +85,34 @@ def test_stepwise_logistic_first_steps(spark, frames):
     assert trace[1][3] == pytest.approx(direct, abs=2e-3)
 
 
+def test_auc_bounds_hold_and_do_not_change_the_choice(spark, frames):
+    """One bin bounds nothing, so every candidate is compared exactly: the same trace."""
+    feats, fr = frames
+    train = fr[M.CLASSIFIER].where("split = 'train'").select(*feats[:7], "target_flag", "fold").persist()
+    fast = S.stepwise_logistic(train, feats[:7], "target_flag", max_features=3)
+    full = S.stepwise_logistic(train, feats[:7], "target_flag", max_features=3, bins=1)
+    assert fast == full
+    mean, scale = S.moments(train, feats[:7])
+    cands = list(range(7))
+    w = S._newton(train, feats[:7], "target_flag", "fold", mean, scale, [], cands, np.zeros((7, 5, 2)), 5, 1.0, 25, 1e-6, "")
+    args = (train, feats[:7], "target_flag", "fold", mean, scale, [], cands, w, 5)
+    exact = {(r["cand"], r["fold"]): r["auc"] for r in
+             EV.auc(S._heldout_scores(*args), "y", "score", by=["cand", "fold"]).collect()}
+    for bins in (3, 64, 4096):
+        bounds = S.auc_bounds(S._score_bins(*args, bins)).collect()
+        assert len(bounds) == len(exact) == 35
+        for r in bounds:
+            assert r["lower"] - 1e-12 <= exact[r["cand"], r["fold"]] <= r["upper"] + 1e-12
+            assert bins < 4096 or r["upper"] - r["lower"] < 0.02
+    assert len(S.contenders(*args)) < 7 and len(S.contenders(*args, bins=1)) == 7
+
+
+def test_one_class_in_a_fold_is_refused(spark):
+    rows = spark.createDataFrame([(float(i % 7), i % 2 if i % 5 else 0, i % 5) for i in range(100)], "x double, y int, fold int")
+    with pytest.raises(ValueError, match="one class only"):
+        S.stepwise_logistic(rows, ["x"], "y", max_features=1)
+
+
 def test_grid_search_refit(spark, frames):
     from loanlens.operators.tune import grid_search
     feats, fr = frames

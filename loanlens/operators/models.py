@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..session import checkpoint_dir
+from . import compiled as X
 
 CLASSIFIER, REGRESSOR = "classifier", "regressor"
 KINDS = ("logistic", "linear", "tree", "forest", "boost", "mlp")
@@ -110,20 +111,43 @@ def fit(train: DataFrame, features: list[str], label: str, kind: str, task: str,
     return FittedModel(kind, task, list(features), label, pipe)
 
 
+def score_column(model: FittedModel):
+    """The model's score as a column expression over its features (a missing feature is an
+    error, as in ``transform``); None for networks and for ensembles of more than ``compiled.NODES`` nodes."""
+    est, kind, cls = model.estimator, model.kind, model.task == CLASSIFIER
+    if kind in ("logistic", "linear"):
+        text = X.linear_text(model.features, est.coefficients.toArray().tolist(), est.intercept)
+        return X.refuse(model.features, X.logistic_text(text) if kind == "logistic" else text)
+    if kind not in ("tree", "forest", "boost") or (est.numNodes if kind == "tree" else est.totalNumNodes) > X.NODES:
+        return None
+    votes = kind == "forest" and cls
+    trees = X.saved_nodes(_spark(model), est, model.features, votes)
+    text = X.weighted_text(trees, est.treeWeights if kind == "boost" else [1.0] * len(trees))
+    if kind == "forest":
+        text = f"{text} / {len(trees)}D"
+    elif kind == "boost" and cls:
+        text = X.logistic_text(text, 2)
+    return X.refuse(model.features, text)
+
+
 def score(model: FittedModel, df: DataFrame) -> DataFrame:
     """MOD12: batch scoring; keeps the input columns, adds ``score`` and ``pred``."""
-    out = model.pipeline.transform(df)
-    est = model.estimator
-    if model.task == CLASSIFIER and model.kind != "tree":
-        p1 = vector_to_array(F.col(est.getProbabilityCol()))[1]
-        out = out.withColumn("score", p1)
-    else:
-        out = out.withColumn("score", F.col(est.getPredictionCol()))
+    column = score_column(model)
+    out = df.withColumn("score", column) if column is not None else transformed(model, df)
     if model.task == CLASSIFIER:
         out = out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
     return out.select(*df.columns, "score", *(["pred"] if model.task == CLASSIFIER else []))
 
 
+def transformed(model: FittedModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``score`` by the pipeline's own ``transform``."""
+    out = model.pipeline.transform(df)
+    est = model.estimator
+    if model.task == CLASSIFIER and model.kind != "tree":
+        return out.withColumn("score", vector_to_array(F.col(est.getProbabilityCol()))[1])
+    return out.withColumn("score", F.col(est.getPredictionCol()))
+
+
 def importances(model: FittedModel, positive_only: bool = False) -> DataFrame:
     """EVA6: feature importances of a tree model in input order (or the
     positive ones, largest first)."""
@@ -160,7 +184,7 @@ def tree_nodes(model: FittedModel) -> DataFrame:
     names = spark.createDataFrame(list(enumerate(model.features)), "featureIndex int, feature string")
     flat = nodes.select("id", "prediction", "impurity", "rawCount", "gain", "leftChild",
                         "rightChild", F.col("split.featureIndex").alias("featureIndex"),
-                        F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"))
+                        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
     return (flat.join(F.broadcast(names), "featureIndex", "left")
             .select("id", "feature", "threshold", "impurity", F.col("rawCount").alias("samples"),
                     F.col("prediction").alias("value"), "gain", "leftChild", "rightChild")

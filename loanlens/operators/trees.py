@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cache, stored
+from . import compiled as X
 
 #: Bins of a feature, rows whose values place the cuts (all rows, or those with the smallest key hashes).
 BINS, CUT_ROWS = 256, 65_536
@@ -473,8 +474,43 @@ class HistModel:
             return 1.0 / (1.0 + np.exp(-2.0 * out)) if self.chains[0].loss == LOGISTIC else out
         return out / len(self.chains)
 
+    def heap(self, chain: int, stage: int) -> dict:
+        """Nodes of one tree as ``compiled.tree_text`` takes them."""
+        t, inner, out, todo = self.trees[chain], (1 << self.depth) - 1, {}, [0]
+        while todo:
+            i = todo.pop()
+            f = int(t.feature[stage, i]) if i < inner else -1
+            out[i] = float(t.value[stage, i])
+            if f >= 0:
+                out[i] = (self.features[f], float(self.cuts[f][t.cut[stage, i]]), 2 * i + 1, 2 * i + 2)
+                todo += [2 * i + 1, 2 * i + 2]
+        return out
+
+    def score_column(self):
+        """The score as a column expression; None beyond ``compiled.NODES`` nodes."""
+        trees, weights = [], []
+        for k, c in enumerate(self.chains):
+            trees += [self.heap(k, s) for s in range(self.stages)]
+            weights += [1.0] + [c.step] * (self.stages - 1)
+        if sum(map(len, trees)) > X.NODES:
+            return None
+        text = X.weighted_text(trees, weights)
+        if self.kind != "boost":
+            text = f"{text} / {len(self.chains)}D"
+        elif self.chains[0].loss == LOGISTIC:
+            text = X.logistic_text(text, 2)
+        return X.refuse(self.features, text, nan=False)
+
     def score(self, df: DataFrame) -> DataFrame:
-        """MOD12: ``df`` with ``score`` and, for classifiers, ``pred`` (ties to 0)."""
+        """MOD12: ``df`` with ``score`` and, for classifiers, ``pred`` (ties to 0). A null feature is an error."""
+        column = self.score_column()
+        if column is None:
+            return self.score_batches(df)
+        out = df.withColumn("score", column)
+        return out.withColumn("pred", (F.col("score") > 0.5).cast("int")) if self.task == "classifier" else out
+
+    def score_batches(self, df: DataFrame) -> DataFrame:
+        """``score`` by Arrow batches, for ensembles of any size."""
         k, cuts, model, cls = len(self.features), self.cuts, self, self.task == "classifier"
         schema = df.select("*", F.lit(0.0).alias("score"), *([F.lit(0).alias("pred")] if cls else [])).schema
 

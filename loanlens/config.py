@@ -88,7 +88,7 @@ class RunConfig:
     scale_target: bool = True
     # evaluation
     drop_intermediate: bool = True
-    # quantiles: "distributed" (exact, rank based), "exact" (one aggregate), "approx"
+    # quantiles: "distributed" (exact, radix selection), "exact" (one aggregate), "approx"
     quantile_method: str = "distributed"
     quantile_accuracy: int = 100_000
     # "hash": one shared row-local split; "separate": a hash split per task;

@@ -80,7 +80,7 @@ def q_describe_all(spark, sf_dir):
 
 @register("describe_all_distributed", with_rf(_describe_sql([])))
 def q_describe_all_distributed(spark, sf_dir):
-    """AGG2 with the rank-based exact quartiles used above the size threshold."""
+    """AGG2 with exact quartiles by radix selection, asked for by name."""
     return rounded(P.describe(rf(spark, sf_dir), NUM, method="distributed"))
 
 
@@ -104,7 +104,7 @@ def q_describe_by_categories(spark, sf_dir):
 
 @register("describe_by_categories_distributed", with_rf(_describe_sql(CATS)))
 def q_describe_by_categories_distributed(spark, sf_dir):
-    """AGG5 with the rank-based exact quartiles used above the size threshold."""
+    """AGG5 with exact quartiles by radix selection, asked for by name."""
     return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS, method="distributed"))
 
 

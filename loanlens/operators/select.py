@@ -29,7 +29,7 @@ from .linear import cv_rmse, fold_grams, moments
 from .models import FittedModel, fit
 
 #: Bins of a model's held-out scores; more bins give closer bounds and more rows to add up.
-SCORE_BINS = 4096
+SCORE_BINS = 512
 
 TRACE_SCHEMA = ("step int, features array<string>, added string, avg_score double, "
                 "std_score double")

@@ -191,12 +191,17 @@ def redact(docs: DataFrame) -> DataFrame:
     return found.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _count(spans: Column, kind: int) -> Column:
+    # the lambda takes the span only: a second argument would be its index
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, spans = add_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     all_ = F.col(spans)
     base = F.filter(all_, lambda x: x["kind"] < len(BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter(all_, lambda x, n=n: x["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)],
+        *[_count(all_, n).alias(f"n_{k}") for n, k in enumerate(BASE)],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(all_).alias("spans"),
         F.array_join(F.transform(all_, lambda x: x["score"].cast("string")), ",").alias("scores"))

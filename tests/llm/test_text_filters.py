@@ -415,3 +415,14 @@ def test_links_of_a_dense_group():
     i, j = simhash.trie_links(rot, start, np.zeros(len(rot), np.int64), 0, 2)
     assert len(i) == len(rot) - 1 and set(j.tolist()) == {0}
     assert LONG and SCHEMA
+
+
+def test_pii_query_counts_every_kind(spark, tmp_path):
+    """Several spans of a kind, and kinds that are not at the place of their number, are all counted."""
+    rows = [(0, "a@b.co, c@d.org and e@f.net"), (1, "call +1 555 123 4567 or +1 555 123 4568"), (2, "1.2.3.4 x@y.zz 10.0.0.1"),
+            (3, "4111 1111 1111 1111"), (4, ""), (5, None)]
+    plain(spark, [(*r, "en", "s") for r in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii.op4_pii_spans(spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        base = brute_base(text or "")
+        assert got[i] == (*(sum(x.startswith(f"{k}:") for x in base) for k in ("email", "ip", "card", "phone")), ",".join(base))

@@ -20,7 +20,7 @@ from ..operators.tune import cross_validate, tree_point, tree_search
 from .jobs import task_frames
 from .oracle import r4, with_rf
 from .q_prepare import FEATURES, _prep_ctes
-from .registry import RS, register, rf, rounded
+from .registry import RS, register, rf, rf_table, rounded
 from .tree_sql import bin_ctes, tree_ctes
 
 CFG = RunConfig()
@@ -32,7 +32,7 @@ def model_frames(spark, sf_dir, tasks=(M.CLASSIFIER, M.REGRESSOR)):
     rows, ``fold``, from the given tables. Every query builds and writes its own
     (``jobs.task_frames``); its fits, CV folds and metrics then scan that table
     instead of replaying the joins, the median aggregate and the fold ranking."""
-    prep, frames = task_frames(rf(spark, sf_dir), RS, CFG, tasks)
+    prep, frames = task_frames(rf_table(spark, sf_dir), RS, CFG, tasks)
     return prep.feature_cols, frames
 
 
@@ -135,7 +135,7 @@ register("tree_regressor", _tree_sql(" UNION ALL ".join(
     "FROM rf WHERE target_amt IS NOT NULL"))
 def q_ols(spark, sf_dir):
     """MOD8 with one feature: equals the SQL regression aggregates."""
-    df = SP.loss_population(rf(spark, sf_dir), "target_amt").select("loan", "target_amt")
+    df = SP.loss_population(rf_table(spark, sf_dir, "loan", "target_amt"), "target_amt")
     model = M.fit(df, ["loan"], "target_amt", "linear", M.REGRESSOR, CFG)
     est = model.estimator
     out = spark.createDataFrame([(float(est.coefficients[0]), float(est.intercept))],
@@ -161,7 +161,7 @@ def _stump_sql(label: str, where: str) -> str:
 
 
 def _stump(spark, sf_dir, task):
-    df = rf(spark, sf_dir)
+    df = rf_table(spark, sf_dir, "discount", *RS.targets)
     df = df if task == M.CLASSIFIER else SP.loss_population(df, "target_amt")
     model = M.fit(df.select("discount", label_of(task)), ["discount"], label_of(task), "tree", task,
                   CFG.with_(max_depth=1))
@@ -191,7 +191,7 @@ def q_tree_stump_regressor(spark, sf_dir):
     "FROM g JOIN t ON t.fold <> g.fold GROUP BY g.fold)"))
 def q_cv_rmse_one_feature(spark, sf_dir):
     """TUN3 with one feature: each fold's line comes from the other folds' regression sums."""
-    df = SP.split_hash(SP.loss_population(rf(spark, sf_dir), "target_amt").select("k", "loan", "target_amt"),
+    df = SP.split_hash(SP.loss_population(rf_table(spark, sf_dir, "k", "loan", "target_amt"), "target_amt"),
                        "k", CFG.seed, CFG.test_fraction)
     train = SP.assign_folds(df.where("split = 'train'"), "k", CFG.folds, CFG.seed)
     v = cross_validate(train, ["loan"], "target_amt", "linear", M.REGRESSOR, CFG, "rmse")

@@ -13,7 +13,7 @@ from ..session import checkpoint_dir, stored
 from ..sources.sinks import read_runs, write_run
 from .oracle import r4, with_rf
 from .q_profile import _describe_sql
-from .registry import RS, register, rf, rounded
+from .registry import RS, register, rf, rf_table, rounded
 
 CAP = 25_000.0
 SEED = 1
@@ -55,7 +55,7 @@ def _round_cols(cols, src="") -> str:
 
 
 def prepared(spark, sf_dir, fit_on_train: bool = False):
-    df = rf(spark, sf_dir)
+    df = rf_table(spark, sf_dir)        # scanned by every fit and by the transform
     fit_rows = None
     if fit_on_train:
         fit_rows = SP.split_hash(df, "k", SEED).where("split = 'train'").drop("split")
@@ -88,7 +88,7 @@ def q_impute_group_median(spark, sf_dir):
 @register("dummy_encode", with_rf(
     "SELECT k, " + ", ".join(DUMMIES) + " FROM prep", *_prep_ctes()))
 def q_dummy_encode(spark, sf_dir):
-    df = rf(spark, sf_dir)
+    df = rf_table(spark, sf_dir, "k", *RS.categorical, *RS.features)
     enc = PR.fit_dummies(df, RS)
     return enc.transform(PR.fill_unknown(df, RS).select("k", *RS.categorical))
 
@@ -106,7 +106,7 @@ _CAP_SRC = ("(SELECT 'before' AS stage, target_amt FROM rf UNION ALL SELECT 'aft
 @register("describe_loss_cap", with_rf(_describe_sql(["stage"], src=_CAP_SRC, cols=["target_amt"])))
 def q_describe_loss_cap(spark, sf_dir):
     """AGG3: describe of the loss amount before and after the cap."""
-    df = rf(spark, sf_dir).select("target_amt")
+    df = rf_table(spark, sf_dir, "target_amt")
     both = df.withColumn("stage", F.lit("before")).unionByName(
         PR.cap_amount(df, "target_amt", CAP).withColumn("stage", F.lit("after")))
     return rounded(P.describe(both, ["target_amt"], by=["stage"]))
@@ -168,7 +168,7 @@ CAPS = [25_000.0, 10_000.0]
 def q_run_reports(spark, sf_dir):
     """SNK2: the loss reports of runs with two caps in one folder, the first run written
     again, read side by side."""
-    df, root = rf(spark, sf_dir), f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    df, root = rf_table(spark, sf_dir, *RS.targets, *RS.categorical), f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
     for cap in [*CAPS, CAPS[0]]:
         write_run({"expected_loss": P.expected_loss(PR.cap_amount(df, "target_amt", cap), RS)}, root, "profile", {"cap": cap})
     return rounded(read_runs(spark, root, "expected_loss", ["cap"]).drop("run_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from .oracle import nan_null, r4, union_all, with_rf
-from .registry import CATS, NUM, RS, register, rf, rounded
+from .registry import CATS, NUM, RS, register, rf, rf_table, rounded
 
 
 # ------------------------------------------------------------------ scan
@@ -75,20 +75,20 @@ def _describe_sql(by: list[str], src: str = "rf", cols=NUM) -> str:
 
 @register("describe_all", with_rf(_describe_sql([])))
 def q_describe_all(spark, sf_dir):
-    return rounded(P.describe(rf(spark, sf_dir), NUM))
+    return rounded(P.describe(rf_table(spark, sf_dir, *NUM), NUM))
 
 
 @register("describe_all_distributed", with_rf(_describe_sql([])))
 def q_describe_all_distributed(spark, sf_dir):
     """AGG2 with exact quartiles by radix selection, asked for by name."""
-    return rounded(P.describe(rf(spark, sf_dir), NUM, method="distributed"))
+    return rounded(P.describe(rf_table(spark, sf_dir, *NUM), NUM, method="distributed"))
 
 
 @register("describe_by_category", with_rf(union_all([
     _describe_sql(["category", "level"], src=f"(SELECT '{c}' AS category, {c} AS level, * FROM rf) s")
     for c in CATS])))
 def q_describe_by_category(spark, sf_dir):
-    df = rf(spark, sf_dir)
+    df = rf_table(spark, sf_dir, *NUM, *CATS)
     outs = []
     for c in CATS:
         d = P.describe(df, NUM, by=[c]).select(
@@ -99,13 +99,13 @@ def q_describe_by_category(spark, sf_dir):
 
 @register("describe_by_categories", with_rf(_describe_sql(CATS)))
 def q_describe_by_categories(spark, sf_dir):
-    return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS))
+    return rounded(P.describe(rf_table(spark, sf_dir, *NUM, *CATS), NUM, by=CATS))
 
 
 @register("describe_by_categories_distributed", with_rf(_describe_sql(CATS)))
 def q_describe_by_categories_distributed(spark, sf_dir):
     """AGG5 with exact quartiles by radix selection, asked for by name."""
-    return rounded(P.describe(rf(spark, sf_dir), NUM, by=CATS, method="distributed"))
+    return rounded(P.describe(rf_table(spark, sf_dir, *NUM, *CATS), NUM, by=CATS, method="distributed"))
 
 
 @register("describe_by_categories_approx")
@@ -118,7 +118,7 @@ def q_describe_by_categories_approx(spark, sf_dir):
     f"SELECT '{c}' AS category, {c} AS level, count(*) AS count FROM rf GROUP BY {c}"
     for c in CATS])))
 def q_value_counts(spark, sf_dir):
-    df = rf(spark, sf_dir)
+    df = rf_table(spark, sf_dir, *CATS)
     outs = [P.value_counts(df, c).select(F.lit(c).alias("category"), F.col(c).alias("level"),
                                          "count") for c in CATS]
     return outs[0].unionByName(outs[1])
@@ -144,7 +144,7 @@ def q_kurtosis(spark, sf_dir):
     "SELECT reason, job, " + ", ".join(f"{r4(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in NUM)
     + " FROM rf GROUP BY reason, job"))
 def q_group_medians(spark, sf_dir):
-    return rounded(P.group_medians(rf(spark, sf_dir), CATS, NUM))
+    return rounded(P.group_medians(rf_table(spark, sf_dir, *CATS, *NUM), CATS, NUM))
 
 
 @register("group_medians_distributed", with_rf(
@@ -152,7 +152,7 @@ def q_group_medians(spark, sf_dir):
     + " FROM rf GROUP BY reason, job"))
 def q_group_medians_distributed(spark, sf_dir):
     """AGG10 with the rank-based exact medians used above the size threshold."""
-    return rounded(P.group_medians(rf(spark, sf_dir), CATS, NUM, method="distributed"))
+    return rounded(P.group_medians(rf_table(spark, sf_dir, *CATS, *NUM), CATS, NUM, method="distributed"))
 
 
 @register("target_mean_by_segment", with_rf(
@@ -217,7 +217,7 @@ def _hist_sql(bins: int = 20) -> str:
 
 @register("histogram20", _hist_sql())
 def q_histogram20(spark, sf_dir):
-    return rounded(P.histogram(rf(spark, sf_dir), NUM, 20))
+    return rounded(P.histogram(rf_table(spark, sf_dir, *NUM), NUM, 20))
 
 
 _HEAD_COLS = ["k", "target_flag", *[c for c in NUM if c != "target_flag"], *CATS]

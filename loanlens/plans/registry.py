@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import RiskSchema
+from ..session import stored
 from ..sources.frames import risk_frame
 
 RS = RiskSchema.risk_frame()
@@ -55,3 +56,10 @@ def rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_frame(spark, sf_dir)
 
 
+def rf_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``rf`` (or columns of it) written once, for queries that scan it several times: the
+    joins behind it then run, shuffle and spill once, not once a scan."""
+    df = rf(spark, sf_dir)
+    return stored(df.select(*columns) if columns else df, "risk")
+
+

@@ -104,3 +104,11 @@ def test_levels_as_a_table(spark):
     out = PR.encode_levels(df, "c", "place").collect()
     levels = sorted({r["c"] or "Unknown" for r in out})
     assert len(out) == 500 and all(r["place"] == levels.index(r["c"] or "Unknown") for r in out)
+
+
+def test_queries_of_several_scans_join_once(spark):
+    """Queries that fit before they transform read the joined rows from one table, not through the joins again."""
+    import __spark_entry__ as E
+    for name in ("missing_flags", "impute_group_median", "minmax_scale", "split_counts", "target_mean_by_split", "prepare_full"):
+        files = E.queries()[name](spark, E.SMOKE_DIR).inputFiles()
+        assert files and not any("lineitem" in f for f in files), name

@@ -154,3 +154,9 @@ def test_mlp_sigmoid_runs_every_depth(monkeypatch):
     monkeypatch.setattr(Q, "metrics_frame", lambda spark, rows: rows)
     Q.q_mlp_sigmoid(None, "")
     assert layers == [[2, 4, 2], [2, 4, 4, 2]] and names == ["mlp_classifier_1", "mlp_classifier_2"]
+
+
+def test_trees_keep_no_node_ids():
+    """Kept node ids are rows x trees of storage, written again at every level."""
+    for kind, task in (("tree", M.CLASSIFIER), ("forest", M.CLASSIFIER), ("forest", M.REGRESSOR), ("boost", M.CLASSIFIER), ("boost", M.REGRESSOR)):
+        assert not M.make_estimator(kind, task, "y", CFG).getCacheNodeIds()

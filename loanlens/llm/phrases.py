@@ -15,7 +15,7 @@ a pivot word into smaller, equal and greater; equal partitions go one word deepe
 sizes are the counts of the phrases they spell; partitions below LEAST are abandoned.
 A route longer than a buffer is counted part by part without abandoning, and the parts are summed.
 
-No candidate holds a rare word or a rare pair of neighbours. Words are counted exactly, pairs by 64-bit
+No candidate holds a rare word or a rare pair of neighbours. Words are counted exactly, pairs by 44-bit
 hashes (a sum of collided pairs is only too high); bit tables of fixed size (``BITS``) over the frequent words and
 pairs end the suffixes at the first rare one before the shuffle. What a table lets pass is counted all
 the same, so a table that is full costs time, not results.
@@ -44,6 +44,8 @@ HOT = 500
 BYTES, BUFFER, TASK = 4_000_000, 1_000_000, 1_000_000
 #: Bits of each table, of the frequent words and of the frequent pairs.
 BITS = 1 << 25
+#: Bits of a pair's hash.
+HASH = 44
 #: Pairs summed in a task before they are handed on.
 PAIRS = 4_000_000
 #: Capitals lowered; marks and line ends become the end of a piece (10), tabs blanks.
@@ -130,31 +132,80 @@ def _neighbours(lang: str, texts: list[bytes], bits: np.ndarray):
     return words, code, (piece[1:] == piece[:-1]) & often[1:] & often[:-1], h
 
 
-def pair_counts(docs: DataFrame, bits) -> DataFrame:
-    """pair (hash), c: counts of neighbouring frequent words; ``bits``: broadcast table of the frequent words."""
-    def summed(parts):
-        keys, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        c = np.zeros(len(keys), np.int64)
-        np.add.at(c, group, np.concatenate([c for _, c in parts]))
-        return keys, c
+def _deltas(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more as bytes of 7 bits, the lowest first, 128 added to all bytes of a number but its last."""
+    x = x.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 9):
+        size += x >= np.uint64(1 << 7 * k)
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(x) else 0, np.uint8)
+    for k in range(int(size.max()) if len(x) else 0):
+        some = size > k
+        low = (x[some] >> np.uint64(7 * k)) & np.uint64(127)
+        out[(end - size)[some] + k] = low + np.where(size[some] > k + 1, np.uint64(128), np.uint64(0))
+    return out.tobytes()
+
+
+def _undo(data: bytes) -> np.ndarray:
+    """The numbers of ``_deltas``."""
+    b = np.frombuffer(data, np.uint8)
+    last = b < 128
+    end = np.flatnonzero(last) + 1
+    start = np.r_[0, end[:-1]]
+    out = np.zeros(len(end), np.uint64)
+    for k in range(int((end - start).max()) if len(end) else 0):
+        some = end - start > k
+        out[some] += (b[start[some] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
+def _summed(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts, of (keys, counts) pairs."""
+    keys, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    c = np.zeros(len(keys), np.int64)
+    np.add.at(c, group, np.concatenate([c for _, c in parts]))
+    return keys, c
+
+
+def pair_counts(docs: DataFrame, bits, total: int = 0, least: int = 1) -> DataFrame:
+    """pair (hash of HASH bits), c: neighbouring frequent words that occur ``least`` times or more; ``bits``: broadcast
+    table of the frequent words. Tasks hand on their sums by ranges of the hash, ascending, as differences of a few bytes."""
+    spark = docs.sparkSession
+    # a range holds about TASK of the pairs (``total``: all words)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
+
+    def packed(keys, c):
+        at = keys * ranges >> HASH
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(keys) else at
+        stop = np.r_[first[1:], len(keys)]
+        return pa.record_batch([
+            pa.array(at[first], pa.int32()),
+            pa.array([_deltas(np.diff(keys[i:j], prepend=0)) for i, j in zip(first, stop)], pa.binary()),
+            pa.array([_deltas(c[i:j]) for i, j in zip(first, stop)], pa.binary())], ["part", "pairs", "counts"])
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             for lang, texts in _parts(b):
                 _, _, ok, h = _neighbours(lang, texts, bits.value)
-                held.append(np.unique(h[ok], return_counts=True))
+                held.append(np.unique(h[ok] & ((1 << HASH) - 1), return_counts=True))
                 size += len(held[-1][0])
                 if size >= PAIRS:
-                    held = [summed(held)]
+                    held = [_summed(held)]
                     size = len(held[0][0])
                     if size >= PAIRS // 2:
-                        yield pa.record_batch([pa.array(x) for x in held[0]], ["pair", "c"])
+                        yield packed(*held[0])
                         held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(x) for x in summed(held)], ["pair", "c"])
+            yield packed(*_summed(held))
+
+    def total_of(t: pa.Table) -> pa.Table:
+        keys, c = _summed([(np.cumsum(_undo(p)), _undo(n)) for p, n in zip(t.column("pairs").to_pylist(), t.column("counts").to_pylist())])
+        return pa.table({"pair": keys[c >= least], "c": c[c >= least]})
 
-    return _texts(docs).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return (_texts(docs).mapInArrow(run, "part int, pairs binary, counts binary")
+            .groupBy("part").applyInArrow(total_of, "pair long, c long"))
 
 
 def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,10 +381,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, min_count: int
         hot.setdefault(r["lang"], set()).add(r["word"].encode())
     often = words.where(F.col("c") >= min_count)
     bits = spark.sparkContext.broadcast(_bit_table(F.crc32(F.concat("lang", F.lit("\n"), "word").cast("binary")), often))
-    pairs = spark.sparkContext.broadcast(_bit_table(F.col("pair"), pair_counts(docs, bits).where(F.col("c") >= min_count)))
+    pairs = spark.sparkContext.broadcast(_bit_table(F.col("pair"), pair_counts(docs, bits, total, min_count)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     route = F.xxhash64("lang", "lead", F.expr("substring_index(phrase, ' ', lead)"))
-    routed = (suffixes(docs, bits, pairs, hot).withColumn("route", route).repartition(tasks, "route")
+    # the route is computed on both sides of the shuffle: its 8 bytes a suffix do not pass it
+    routed = (suffixes(docs, bits, pairs, hot).repartition(tasks, route).withColumn("route", route)
               .sortWithinPartitions("route").select("route", "lang", "phrase", "lead", "c"))
     return (routed.mapInArrow(_counter(min_count), "lang string, phrase string, a long")
             .groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count))

@@ -226,3 +226,22 @@ def test_exact_empty(spark, tmp_path):
     narrow = exact.digest_rows(plain(spark).limit(0))
     index.add(narrow, 0)
     assert exact.members(narrow, index).count() == 0
+
+
+def test_pairs_pass_the_shuffle_as_differences(spark, monkeypatch):
+    """Pair sums cross the shuffle as a few rows of packed differences; counts are those of all neighbours, also in many hand-overs."""
+    P = phrases
+    x = np.array([0, 1, 127, 128, 16_383, 16_384, (1 << 44) - 1, 1 << 55])
+    assert (P._undo(P._deltas(x)) == x).all() and len(P._undo(P._deltas(x[:0]))) == 0
+    monkeypatch.setattr(P, "PAIRS", 40)
+    words = [f"w{i * i % 23}" for i in range(700)]
+    docs = spark.createDataFrame([(i, "aa", " ".join(words[i:i + 7])) for i in range(0, 700, 7)], "doc_id long, lang string, text string")
+    bits = spark.sparkContext.broadcast(np.full(P.BITS // 64, -1))
+    found = P.pair_counts(docs.repartition(3), bits)
+    want = {}
+    for i in range(0, 700, 7):
+        for a, b in zip(words[i:i + 7], words[i + 1:i + 7]):
+            want[a, b] = want.get((a, b), 0) + 1
+    assert sorted(r.c for r in found.collect()) == sorted(want.values())
+    assert sorted(r.c for r in P.pair_counts(docs, bits, 700, 20).collect()) == sorted(c for c in want.values() if c >= 20)
+    assert "pairs#" in found._jdf.queryExecution().executedPlan().toString()

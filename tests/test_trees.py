@@ -161,3 +161,35 @@ def test_linear_and_logistic_cv_equal_spark_ml(rows):
             out.append(ev.evaluate(p))
     assert fold_rmse(rows, FEATS, "amt", "fold", 5) == pytest.approx(rm, rel=1e-9)
     assert cross_validate(rows, FEATS, "flag", "logistic", M.CLASSIFIER, cfg, "auc") == pytest.approx(np.mean(au), abs=1e-6)
+
+
+def test_rows_descend_and_add_up_without_a_look_up_per_row(monkeypatch):
+    """Leaves by comparing a level's nodes with all rows equal those found row by row, with nodes that stop early; a pass
+    spreads the groups' sums to features once, and folds draw a bootstrap once."""
+    rng = np.random.default_rng(2)
+    x = np.asfortranarray(rng.integers(0, 256, size=(500, 6)).astype(np.uint8))
+    t = T.Trees(1, 5)
+    t.feature[0, :31] = np.where(rng.random(31) < 0.8, rng.integers(0, 6, 31), -1)
+    t.cut[0, :31], t.value[0] = rng.integers(0, 255, 31), rng.normal(size=63)
+    for levels in range(6):
+        want = t.leaf(x, 0, levels, np.zeros(500, np.int64))
+        path, ends = t.descend(x, 0, levels)
+        assert (ends[path] == want).all() and (t.leaf(x, 0, levels) == want).all()
+        assert (t.values(x, 0, levels) == t.value[0][want]).all()
+    hashes = rng.integers(-2 ** 62, 2 ** 62, size=500)
+    u = (T._mix(hashes.view(np.uint64) ^ T._mix(np.array([1_000_003 + 4], np.uint64))) >> np.uint64(11)).astype(float) / 2 ** 53
+    assert (T.bag_weights(hashes, 3, 1) == np.searchsorted(T._POISSON, u, side="right")).all()
+    drawn, plain = [], T.bag_weights
+    monkeypatch.setattr(T, "bag_weights", lambda *a: drawn.append(a[1]) or plain(*a))
+    bags, fold = {}, rng.integers(0, 5, 500)
+    ws = [T._weights(T.Chain(fold=f, bag=3), fold, hashes, bags) for f in range(5)]
+    assert drawn == [3] and all(((w == 0) | (fold != f)).all() for f, w in enumerate(ws))
+    lay = T._Layout([256, 3, 2, 2, 2, 256])
+    y, node, codes = rng.normal(size=500), rng.integers(0, 4, 500), lay.codes((x % np.array([256, 3, 2, 2, 2, 256])).astype(np.uint8))
+    both = lay.joint(codes[:, :200], node[:200], 4, None, y[:200]) + lay.joint(codes[:, 200:], node[200:], 4, None, y[200:])
+    h = lay.spread(both, 4)
+    for f in range(6):
+        for v in range(lay.widths[f]):
+            for n in range(4):
+                some = (node == n) & (x[:, f] % lay.widths[f] == v)
+                assert h[0, n, lay.first[f] + v] == some.sum() and abs(h[1, n, lay.first[f] + v] - y[some].sum()) < 1e-9

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.operators.split import _selected_hash, assign_folds, key_hash, split_exact
+from loanlens.session import stored_parts
 
 
 def _md5(seed, k):
@@ -66,3 +67,18 @@ def test_folds_use_no_range_partitioning(spark):
     plan = assign_folds(df, "id", stratify="c")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
     assert assign_folds(spark.range(0).withColumn("c", F.lit(1)), "id", stratify="c").count() == 0
+
+
+def test_folds_cross_one_exchange_and_no_join(spark):
+    df = spark.range(1000).withColumn("c", F.col("id") % 2)
+    plan = assign_folds(df, "id", stratify="c")._jdf.queryExecution().executedPlan().toString().split("\n\n")[0]
+    assert "Join" not in plan
+    # the rows once, the bucket counts by (class, bucket) and by class
+    assert plan.count("Exchange") == 3
+
+
+def test_parts_are_read_back_as_one_table(spark):
+    a, b = spark.createDataFrame([(1, 0), (2, None)], "k long, fold int"), spark.createDataFrame([], "k long, fold int")
+    got = stored_parts({"train": a, "test": b}, "parts", "split")
+    assert got.columns == ["k", "fold", "split"]
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "train"), (2, None, "train")]

@@ -160,3 +160,38 @@ def test_trees_keep_no_node_ids():
     """Kept node ids are rows x trees of storage, written again at every level."""
     for kind, task in (("tree", M.CLASSIFIER), ("forest", M.CLASSIFIER), ("forest", M.REGRESSOR), ("boost", M.CLASSIFIER), ("boost", M.REGRESSOR)):
         assert not M.make_estimator(kind, task, "y", CFG).getCacheNodeIds()
+
+
+def test_exact_auc_inside_score_ranges(spark):
+    """Whatever the ranges, plain or packed rows: the AUC of the global order, ties half."""
+    rows = [(float(i % 5), float(i * 37 % 101) / 7, int(i * 7919 % 13 < 5), i * 31 % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, fold int").repartition(4)
+    mean, scale = S.moments(df, ["a", "b"])
+    w = np.array([[[0.1, 0.5, -0.2]] * 3, [[0.1, 0.5, 0.0]] * 3])       # the second has five scores
+    args = (["a", "b"], "y", "fold", mean, scale, [0], [1, 1], w, 3)
+    want = {(r["cand"], r["fold"]): r["auc"] for r in
+            EV.auc(S._heldout_scores(df, *args), "y", "score", by=["cand", "fold"]).collect()}
+    binned = S._score_bins(df, *args, 8).toPandas()
+    for ranges in (S.score_ranges(binned, [0, 1], 3, 8), [[np.zeros(0)] * 3] * 2):
+        for data in (df, S._packed(df, ["a", "b"], "y", "fold", mean, scale)):
+            got = {(r["cand"], r["fold"]): r["auc"] for r in S.fold_aucs(data, *args, ranges).collect()}
+            assert got == pytest.approx(want, abs=1e-12)
+    assert "rangepartitioning" not in S.fold_aucs(df, *args, ranges)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newton_pass_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, y, fold = rng.normal(size=(700, 4)), rng.integers(0, 2, 700), rng.integers(0, 3, 700)
+    feats = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(*map(float, r), int(t), int(f)) for r, t, f in zip(x, y, fold)],
+                               "a double, b double, c double, d double, y int, fold int").repartition(3)
+    w = rng.normal(size=(2, 3, 4))
+    mean, scale = np.zeros(4), np.ones(4)
+    for data in (df, S._packed(df, feats, "y", "fold", mean, scale)):
+        g, h = S._newton_pass(data, feats, "y", "fold", mean, scale, [2, 0], [1, 3], w, 3)
+        for i, c in enumerate((1, 3)):
+            for k in range(3):
+                z = np.column_stack([np.ones(700), x[:, [2, 0, c]]])[fold != k]
+                p = 1 / (1 + np.exp(-z @ w[i, k]))
+                assert g[i, k] == pytest.approx(z.T @ (p - y[fold != k]), abs=1e-9)
+                assert h[i, k].ravel() == pytest.approx(((z * (p * (1 - p))[:, None]).T @ z).ravel(), abs=1e-9)

@@ -195,3 +195,23 @@ def test_newton_pass_by_brute_force(spark):
                 p = 1 / (1 + np.exp(-z @ w[i, k]))
                 assert g[i, k] == pytest.approx(z.T @ (p - y[fold != k]), abs=1e-9)
                 assert h[i, k].ravel() == pytest.approx(((z * (p * (1 - p))[:, None]).T @ z).ravel(), abs=1e-9)
+
+
+def test_select_features_fits_side_by_side(spark, monkeypatch):
+    """Boosting of both tasks runs beside the other fits; rows keep their order."""
+    from threading import Barrier
+
+    from loanlens.plans import q_select
+    meet = Barrier(4, timeout=20)
+
+    def fit(train, feats, label, kind, task, cfg):
+        if kind != "forest":
+            meet.wait()
+        return kind, task
+
+    data = spark.createDataFrame([(1.0, "train")], "x double, split string")
+    monkeypatch.setattr(q_select, "model_frames", lambda *_: (["x"], {M.CLASSIFIER: data, M.REGRESSOR: data}))
+    monkeypatch.setattr(q_select.M, "fit", fit)
+    monkeypatch.setattr(q_select.S, "select_by_importance", lambda model, thresh: ["x"])
+    got = [(r["task"], r["selector"]) for r in q_select.q_select_features(spark, "").collect()][::2]
+    assert got == [(t, k) for t in (M.CLASSIFIER, M.REGRESSOR) for k in ("tree", "forest", "boost")]

@@ -193,3 +193,34 @@ def test_rows_descend_and_add_up_without_a_look_up_per_row(monkeypatch):
             for n in range(4):
                 some = (node == n) & (x[:, f] % lay.widths[f] == v)
                 assert h[0, n, lay.first[f] + v] == some.sum() and abs(h[1, n, lay.first[f] + v] - y[some].sum()) < 1e-9
+
+
+def test_only_the_smaller_child_of_a_node_is_counted(rows, monkeypatch):
+    """A level's histograms come from its smaller children and the level above; a level costs one job, and the rows' sums
+    are renewed without being written."""
+    rng = np.random.default_rng(4)
+    lay = T._Layout([9, 4])
+    x, y = np.column_stack([rng.integers(0, 9, 400), rng.integers(0, 4, 400)]).astype(np.uint8), rng.normal(size=400)
+    t, codes, above = T.Trees(1, 3), lay.codes(x), None
+    for level in range(3):
+        low, node = (1 << level) - 1, t.leaf(x, 0, level)
+        whole = lay.histogram(codes[:, node >= low], node[node >= low] - low, 1 << level, None, y[node >= low])
+        if level:
+            small, other, parent = t.smaller(0, level)
+            assert (whole[0, small].sum(1) <= whole[0, other].sum(1)).all() and (small // 2 == parent).all()
+            place = np.full(len(t.feature[0]), -1)
+            place[low + small] = np.arange(len(small))
+            some = place[node] >= 0
+            got = lay.siblings(lay.histogram(codes[:, some], place[node][some], len(small), None, y[some]), above, (small, other, parent), 1 << level)
+            assert (got[0] == whole[0]).all() and np.allclose(got[1], whole[1])
+        lay.apply(t, 0, level, lay.best(whole, T.Chain(depth=3), 0, np.arange(low, 2 * low + 1)))
+        above = whole
+    counted = []
+    plain = T._Layout.joint
+    monkeypatch.setattr(T._Layout, "joint", lambda self, codes, node, *a: counted.append(len(node)) or plain(self, codes, node, *a))
+    T._grow_alone(x, y, None, None, T.Chain(depth=3), lay)
+    assert counted[0] == 400 and all(n <= 200 for n in counted[1:])
+    b = binned(rows, "flag")
+    monkeypatch.setattr(T, "stored", None)      # training by rows writes nothing
+    [t] = T.grow(b, [T.Chain(depth=2, loss=T.LOGISTIC, step=0.3, stages=T.KEEP + 2)], "rows").trees
+    assert (t.feature[:, 0] >= 0).all()
